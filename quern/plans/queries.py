@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.timestamps import same_instant_pairs, with_instant
+from quern.operators.units import off_reference, with_common_units
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +28,25 @@ def p3_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _instants(spark, sf_dir).select("table_name", "rec_no", "raw", "instant")
 
 
+#: The quantities of the product table and their kinds, and the reference's columns.
+QUANTITIES = {"記憶體容量": "memory", "加速時脈": "frequency", "基礎時脈": "frequency"}
+ACCEPTED = {"記憶體容量": "memory_mb", "加速時脈": "boost_mhz", "基礎時脈": "base_mhz"}
+
+
+def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_common_units(table(spark, sf_dir, "products_20250808_193341"), QUANTITIES, "id", "product_name", "remark")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return off_reference(_quantities(spark, sf_dir), table(spark, sf_dir, "product_reference"), "product_name", ACCEPTED).select("id", "field_name")
+
+
+def p5_common_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantities(spark, sf_dir).select("id", "product_name", "field_name", "raw", "value", "factor", "common_value")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_instants)}
+    return {f.__name__: f for f in (p3_found, p3_instants, p5_found, p5_common_units)}
 
 
 def oracle_sql() -> dict[str, str]:
