@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.canonical import with_canonical
 from quern.llm.leaks import leaked_items
+from quern.llm.ranking import ideal_point_ranking
 from quern.llm.spans import shared_spans, sharing_documents
 from quern.session import table
 
@@ -29,6 +30,10 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canonical_rows(spark, sf_dir).select("table_name", "rec_no", "canonical", "odd")
 
 
+def p7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ideal_point_ranking(table(spark, sf_dir, "search_hits"), {"vec_sim": 1.0, "bm25_sim": 1.0, "rr_score": 1.0}).select("query_id", "hit_id", "rank")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -41,9 +46,48 @@ def p10_shared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
 
 
+_P7 = """
+WITH rows AS (
+  SELECT query_id, hit_id, id, {usable} FROM search_hits
+), items AS (
+  SELECT query_id, id, min(hit_id) AS first, {best} FROM rows GROUP BY query_id, id
+), bounds AS (
+  SELECT query_id AS bq, {bounds} FROM items GROUP BY query_id
+), clipped AS (
+  SELECT query_id, id, first, {clipped} FROM items JOIN bounds ON query_id = bq
+), norms AS (
+  SELECT query_id AS nq, {norms} FROM clipped GROUP BY query_id
+), far AS (
+  SELECT query_id, id, first, {has} AS has, {to_best} AS best, {to_worst} AS worst FROM clipped JOIN norms ON query_id = nq
+), closed AS (
+  SELECT query_id, id, first,
+         CASE WHEN has = 0 THEN 0 WHEN best + worst = 0 THEN 0.5
+              ELSE round(sqrt(worst / has) / (sqrt(best / has) + sqrt(worst / has)), 9) END AS closeness
+  FROM far
+), ranked AS (
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, first) AS rank FROM closed
+)
+SELECT query_id, hit_id, rank FROM rows JOIN ranked USING (query_id, id)
+""".format(
+    **{
+        k: sep.join(f.format(n) for n in ("vec_sim", "bm25_sim", "rr_score"))
+        for k, sep, f in (
+            ("usable", ", ", "nullif(CASE WHEN isfinite({0}) THEN {0} END, 0) AS {0}"),
+            ("best", ", ", "max({0}) AS {0}"),
+            ("bounds", ", ", "quantile_disc({0}, 0.1) AS {0}_l, quantile_disc({0}, 0.9) AS {0}_h"),
+            ("clipped", ", ", "CASE WHEN {0} IS NOT NULL THEN least(greatest({0}, {0}_l), {0}_h) - {0}_l END AS {0}"),
+            ("norms", ", ", "nullif(sqrt(sum({0} * {0})), 0) AS {0}_n, max({0}) AS {0}_max, min({0}) AS {0}_min"),
+            ("has", " + ", "({0} IS NOT NULL)::INT"),
+            ("to_best", " + ", "coalesce(power(({0}_max - {0}) / coalesce({0}_n, 1) / 3, 2), 0)"),
+            ("to_worst", " + ", "coalesce(power(({0} - {0}_min) / coalesce({0}_n, 1) / 3, 2), 0)"),
+        )
+    }
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p8_found, p10_found, p10_shared_spans)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p7_ranking, p8_found, p10_found, p10_shared_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_ranking": _P7}
