@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.canonical import with_canonical
 from quern.llm.leaks import leaked_items
+from quern.llm.markup import with_clean_text
 from quern.llm.ranking import ideal_point_ranking
 from quern.llm.spans import shared_spans, sharing_documents
 from quern.session import table
@@ -30,6 +31,14 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canonical_rows(spark, sf_dir).select("table_name", "rec_no", "canonical", "odd")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_clean_text(table(spark, sf_dir, "clean_latest_news").select("rec_no", "text"), "text").where(F.col("markup") > 0).select("rec_no")
+
+
+def p6_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_clean_text(table(spark, sf_dir, "clean_latest_news").select("rec_no", "text"), "text").select("rec_no", "clean_text", "markup")
+
+
 def p7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ideal_point_ranking(table(spark, sf_dir, "search_hits"), {"vec_sim": 1.0, "bm25_sim": 1.0, "rr_score": 1.0}).select("query_id", "hit_id", "rank")
 
@@ -86,7 +95,7 @@ SELECT query_id, hit_id, rank FROM rows JOIN ranked USING (query_id, id)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p7_ranking, p8_found, p10_found, p10_shared_spans)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p6_found, p6_clean_text, p7_ranking, p8_found, p10_found, p10_shared_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
