@@ -57,7 +57,7 @@ _SCAN = re.compile(
     | (?P<template>\{\{[^{}\n]*\}\})
     | (?P<quotes>'{2,5})
     | (?P<env>\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?)
-    | (?P<math>\\\[.*?\\\]|\\\(.*?\\\)|\$\$[^$]+\$\$|\$[^$\n]{1,200}\$|\\[\[\]()])
+    | (?P<math>\\\[.*?\\\]|\\\(.*?\\\)|\$\$[^$]+\$\$|\$(?=\S)[^$\n]{1,200}(?<=\S)\$(?!\d)|\\[\[\]()])
     | (?P<command>\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\}){0,2})
     | (?P<stars>\*{1,3})
     | (?P<unders>_{1,3})
@@ -302,10 +302,10 @@ def decode(nodes: list[Node], scores: np.ndarray) -> None:
 
 # ---- labelled examples -------------------------------------------------------------------------------------------
 
-_PHRASES = "請於期限內完成登記|系辦公室將公布名單|專題成果發表會 12 點開始|共 35 人參加|申請表另行寄送|The lab opens at nine|Please return 12 forms|各組需準備簡報檔|地點改至三樓會議室|2024-05-01 起受理|本週值班表已更新|Room 305 is closed|成績計算以公告為準".split("|")
+_PHRASES = "請於期限內完成登記|系辦公室將公布名單|專題成果發表會 12 點開始|共 35 人參加|申請表另行寄送|The lab opens at nine|Please return 12 forms|各組需準備簡報檔|地點改至三樓會議室|2024-05-01 起受理|本週值班表已更新|Room 305 is closed|成績計算以公告為準|共計 48213 元整|分機 7730 轉 12|In week 1288 of 2031|自112年10月8日起|09:45 至 17:30 開放".split("|")
 
 
-def examples(count: int = 1500, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
+def examples(count: int = 3000, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Texts with the true label of spans in them: markup of the four languages and ordinary text that resembles it."""
     rng = np.random.RandomState(seed)
     pick = lambda xs: xs[rng.randint(len(xs))]
@@ -368,7 +368,13 @@ def examples(count: int = 1500, seed: int = 7) -> list[tuple[str, list[tuple[int
         parts: list[tuple[str, int | None]] = []
         for _ in range(rng.randint(2, 7)):
             r = rng.rand()
-            parts += [(pick(_PHRASES) + pick(["。", "，", " ", ""]), None)] if r < 0.4 else [(pick(plain)(), TEXT)] if r < 0.7 else pick(inline)()
+            if r < 0.65:
+                parts += [(pick(_PHRASES) + pick(["。", "，", " ", ""]), None)] if r < 0.35 else [(pick(plain)(), TEXT)]
+                continue
+            # Marks stand anywhere, also within a word or a number.
+            around, marks = pick(_PHRASES), pick(inline)()
+            cut = rng.randint(len(around) + 1) if rng.rand() < 0.7 and not marks[0][0].startswith("\n") else 0
+            parts += [(around[:cut], None), *marks, (around[cut:], None)]
         text, spans = "", []
         for s, label in parts:
             if label is not None:
@@ -395,7 +401,7 @@ def labelled(sample: list[tuple[str, list[tuple[int, int, int]]]]) -> tuple[np.n
 
 
 @lru_cache(2)
-def model(count: int = 1500, seed: int = 7) -> BoostedTrees:
+def model(count: int = 3000, seed: int = 7) -> BoostedTrees:
     """Fitted on ``count`` made-up labelled texts; nothing of the input is needed, so it is the same at every size."""
     return BoostedTrees().fit(*labelled(examples(count, seed)))
 
@@ -514,7 +520,7 @@ def _cleaner(trees: BoostedTrees):
 _SUSPECT = re.compile(SUSPECT)
 
 
-def with_clean_text(df: DataFrame, column: str, out: str = "clean_text", found: str = "markup", training_texts: int = 1500) -> DataFrame:
+def with_clean_text(df: DataFrame, column: str, out: str = "clean_text", found: str = "markup", training_texts: int = 3000) -> DataFrame:
     """``df`` with the text of ``column`` without markup, and the number of markup nodes that it held.
 
     Kept are headings (as lines of their own), list items (``- ``), table rows (cells joined by ``｜``), code and, in plain
