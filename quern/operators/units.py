@@ -180,10 +180,12 @@ def with_common_units(df: DataFrame, fields: dict[str, str], row: str, source: s
 def off_reference(common: DataFrame, reference: DataFrame, source: str, columns: dict[str, str], tolerance: float = 0.005) -> DataFrame:
     """The records of ``with_common_units`` of which every stated alternative is more than ``tolerance`` off the reference.
 
-    columns: field -> column of ``reference`` with its value in the common unit. Fields without a stated quantity, and
-    sources that the reference lacks or leaves null, are no cases.
+    They are the records whose unit the segmentation reversed and those still off in their common value, held once more
+    against the text. columns: field -> column of ``reference`` with its value in the common unit. Fields without a
+    stated quantity, and sources that the reference lacks or leaves null, are no cases.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(c).cast("double").alias("accepted")) for f, c in columns.items()))).alias("r")
     accepted = reference.select(F.col(source), pairs).select(source, "r.*").where(F.col("accepted") > 0)
     stated = F.filter("alternatives", lambda x: x["stated"])
-    return common.join(accepted, [source, "field_name"]).where((F.size(stated) > 0) & F.forall(stated, lambda x: F.abs(x["value"] / F.col("accepted") - 1) > tolerance))
+    off = (F.col("factor") != 1) | (F.abs(F.col("common_value") / F.col("accepted") - 1) > tolerance)
+    return common.join(accepted, [source, "field_name"]).where(off & (F.size(stated) > 0) & F.forall(stated, lambda x: F.abs(x["value"] / F.col("accepted") - 1) > tolerance))
