@@ -137,3 +137,19 @@ def winnow(hashes: np.ndarray, inside: np.ndarray, w: int) -> np.ndarray:
     chosen = np.zeros(n, bool)
     chosen[(mask - (low[whole] & mask)).astype(np.int64)] = True
     return np.flatnonzero(chosen)
+
+
+class _Forms(dict):
+    def __missing__(self, code: int) -> str:
+        self[code] = form = "" if 0xD800 <= code < 0xE000 else comparison_form(chr(code))
+        return form
+
+
+_forms = _Forms()
+
+
+def form(text: str) -> str:
+    """``comparison_form``, a character at a time where none of them joins its neighbour."""
+    if not text.isascii() and any(unicodedata.category(c)[0] == "M" for c in set(text) if c > "˿"):
+        return comparison_form(text)
+    return text.translate(_forms)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.canonical import with_canonical
+from quern.llm.history import keyed, repeated_rows
 from quern.llm.leaks import leaked_items
 from quern.llm.markup import with_clean_text
 from quern.llm.ranking import ideal_point_ranking
@@ -31,6 +32,14 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canonical_rows(spark, sf_dir).select("table_name", "rec_no", "canonical", "odd")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for name, exact, fuzzy in (("course_table_row", ["semester", "category", "sub_category", "credit"], "course_name"), ("department_member_row", ["person_name", "phone", "email", "office"], "metadata")):
+        parts.append(keyed(table(spark, sf_dir, name), F.lit(name), "rec_no", "text", exact, fuzzy, ("batch_no",)))
+    found = repeated_rows(parts[0].unionByName(parts[1]))
+    return found.select(F.col("source").alias("table_name"), F.col("row").alias("rec_no"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_clean_text(table(spark, sf_dir, "clean_latest_news").select("rec_no", "text"), "text").where(F.col("markup") > 0).select("rec_no")
 
@@ -95,7 +104,7 @@ SELECT query_id, hit_id, rank FROM rows JOIN ranked USING (query_id, id)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p6_found, p6_clean_text, p7_ranking, p8_found, p10_found, p10_shared_spans)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p6_found, p6_clean_text, p7_ranking, p8_found, p10_found, p10_shared_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
