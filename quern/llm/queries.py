@@ -13,6 +13,7 @@ from quern.llm.leaks import leaked_items
 from quern.llm.markup import with_clean_text
 from quern.llm.ranking import ideal_point_ranking
 from quern.llm.spans import shared_spans, sharing_documents
+from quern.llm.vptree import most_similar, similar_pairs
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("source").alias("table_name"), F.col("row").alias("rec_no"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "chunk_vectors"), "vec_id", "embedding").select("vec_id_a", "vec_id_b")
+
+
+def p4_most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return most_similar(table(spark, sf_dir, "chunk_vectors"), "vec_id", "embedding")
+
+
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the exact neighbours that the relaxed search finds, over the same queries."""
+    vectors = table(spark, sf_dir, "chunk_vectors")
+    exact = most_similar(vectors, "vec_id", "embedding", factor=1.0).select("vec_id", "other")
+    found = most_similar(vectors, "vec_id", "embedding").select("vec_id", "other", F.lit(1).alias("hit"))
+    return exact.join(found, ["vec_id", "other"], "left").agg(F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_clean_text(table(spark, sf_dir, "clean_latest_news").select("rec_no", "text"), "text").where(F.col("markup") > 0).select("rec_no")
 
@@ -104,7 +121,7 @@ SELECT query_id, hit_id, rank FROM rows JOIN ranked USING (query_id, id)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p6_found, p6_clean_text, p7_ranking, p8_found, p10_found, p10_shared_spans)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p4_found, p4_most_similar, p4_recall, p6_found, p6_clean_text, p7_ranking, p8_found, p10_found, p10_shared_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
