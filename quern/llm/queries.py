@@ -11,6 +11,7 @@ from quern.llm.canonical import with_canonical
 from quern.llm.history import keyed, repeated_rows
 from quern.llm.leaks import leaked_items
 from quern.llm.markup import with_clean_text
+from quern.llm.mixture import mixture, mixture_report
 from quern.llm.ranking import ideal_point_ranking
 from quern.llm.spans import shared_spans, sharing_documents
 from quern.llm.vptree import most_similar, similar_pairs
@@ -73,6 +74,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixture_report(mixture(table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharing_documents(table(spark, sf_dir, "documents"))
 
@@ -121,7 +131,7 @@ SELECT query_id, hit_id, rank FROM rows JOIN ranked USING (query_id, id)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p4_found, p4_most_similar, p4_recall, p6_found, p6_clean_text, p7_ranking, p8_found, p10_found, p10_shared_spans)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p4_found, p4_most_similar, p4_recall, p6_found, p6_clean_text, p7_ranking, p8_found, p9_mixture, p9_shares, p10_found, p10_shared_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
