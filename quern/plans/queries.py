@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.timestamps import same_instant_pairs, with_instant
 from quern.operators.units import off_reference, with_common_units
+from quern.plans import corpus_queries
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +47,8 @@ def p5_common_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_instants, p5_found, p5_common_units)}
+    return {f.__name__: f for f in (p3_found, p3_instants, p5_found, p5_common_units)} | corpus_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(corpus_queries.SQL)
