@@ -11,8 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Neighbours of a node: nearest ones and far ones.
-NEAR, FAR = 12, 4
+#: Neighbours of a node: its nearest ones, nodes of whose nearest it is one, and far ones.
+NEAR, BACK, FAR = 12, 4, 2
 DIMS = 64
 #: Characters in which two names may not differ: digits, Latin letters and these.
 NUMERALS = frozenset("〇零一二三四五六七八九十百千萬億")
@@ -69,7 +69,8 @@ class Graph:
         return sorted(range(len(bases)), key=bases.__getitem__)
 
     def _build(self) -> np.ndarray:
-        links = np.full((len(self.names), NEAR + FAR), -1, np.int32)
+        links = np.full((len(self.names), NEAR + BACK + FAR), -1, np.int32)
+        space = np.zeros((len(self.names), NEAR), np.int16)
         rng = np.random.RandomState(1)
         for b, e in zip(self.begin.tolist(), self.end.tolist(), strict=True):
             n = e - b
@@ -83,9 +84,19 @@ class Graph:
                     far += np.abs(self.vectors[s:t, None, d] - self.vectors[None, b:e, d])
                 far[np.arange(t - s), np.arange(s, t) - b] = 32767
                 k = min(NEAR, n - 1)
-                links[s:t, :k] = np.argpartition(far, k - 1, axis=1)[:, :k] + b
+                near = np.argpartition(far, k - 1, axis=1)[:, :k]
+                links[s:t, :k] = near + b
+                space[s:t, :k] = np.take_along_axis(far, near, 1)
             if n > NEAR + 1:
-                links[b:e, NEAR:] = rng.randint(b, e, (n, FAR))
+                links[b:e, NEAR + BACK :] = rng.randint(b, e, (n, FAR))
+                # Links back keep every node within reach of its neighbours; the nearest ones come first.
+                to, by = links[b:e, :NEAR].ravel(), np.repeat(np.arange(b, e), NEAR)
+                order = np.lexsort((by, space[b:e].ravel(), to))
+                to, by = to[order], by[order]
+                begins = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                slot = np.arange(len(to)) - np.repeat(begins, np.diff(np.append(begins, len(to))))
+                kept = slot < BACK
+                links[to[kept], NEAR + slot[kept]] = by[kept]
         return links
 
     def search(self, bases: list[str], names: list[str], beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -118,17 +129,18 @@ class Graph:
         begin, size = self.begin[at[queries]], (self.end - self.begin)[at[queries]]
         v = qv[queries]
         seen = np.zeros((len(queries), int(size.max())), bool)
-        # Entries spread evenly over the base.
-        ids = begin[:, None] + (np.arange(beam // 2) * size[:, None]) // (beam // 2)
+        # Many entries spread evenly over the base; the nearest of them begin the walk.
+        width = 4 * beam
+        ids = begin[:, None] + (np.arange(width) * size[:, None]) // width
         seen[rows[:, None], ids - begin[:, None]] = True
         far = np.abs(self.vectors[ids] - v[:, None]).sum(-1).astype(np.int32)
-        ids = np.concatenate([ids, np.full((len(queries), beam - ids.shape[1]), -1)], 1)
-        far = np.concatenate([far, np.full((len(queries), beam - far.shape[1]), 1 << 20, np.int32)], 1)
+        # A base of fewer nodes than entries meets some twice.
+        far[:, 1:][ids[:, 1:] == ids[:, :-1]] = 1 << 20
+        q_hit, n_hit = [np.nonzero(far <= 2)[0]], [ids[far <= 2]]
+        keep = np.argpartition(far, beam - 1, axis=1)[:, :beam]
+        ids, far = np.take_along_axis(ids, keep, 1), np.take_along_axis(far, keep, 1)
+        ids = np.where(far < 1 << 20, ids, -1)
         done = ids < 0
-        q_hit, n_hit = [], []
-        first = far <= 2
-        q_hit.append(np.nonzero(first)[0])
-        n_hit.append(ids[first])
         while True:
             best = np.where(done, 1 << 21, far).argmin(1)
             live = ~done[rows, best]
