@@ -3,7 +3,7 @@
 Accepted rows live in an index of segments, one a batch. A segment holds the keys of its texts and graph shards: small-
 world graphs over the fuzzy field of its rows. A batch drops the texts whose key is known, walks the graphs of all
 segments, ranks what the walks meet by an exact comparison, settles what is alike within the batch in its order, and
-writes what is new as a segment of its own. Four segments of a level are merged into one of the next.
+writes what is new as a segment of its own. Two segments of a level are merged into one of the next.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def keyed(df: DataFrame, source: Column, row: str, text: str, exact: list[str],
 class HistoryIndex:
     """The index of accepted rows under ``path``; rows are named by a number unique over all sources."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, rows_per_shard: int = 2048, fan: int = 4):
+    def __init__(self, spark: SparkSession, path: str | None = None, rows_per_shard: int = 2048, fan: int = 2):
         self.spark, self.path, self.rows_per_shard, self.fan = spark, path or new_path(spark, "history"), rows_per_shard, fan
         jvm = spark.sparkContext._jvm
         self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
