@@ -14,6 +14,8 @@ import numpy as np
 #: Neighbours of a node: its nearest ones, nodes of whose nearest it is one, and far ones.
 NEAR, BACK, FAR = 16, 4, 2
 DIMS = 64
+#: Entries of a walk, in beams; a base of no more nodes is met whole by its entries.
+ENTRIES = 8
 #: Characters in which two names may not differ: digits, Latin letters and these.
 NUMERALS = frozenset("〇零一二三四五六七八九十百千萬億")
 
@@ -109,8 +111,7 @@ class Graph:
         q_out, n_out = [], []
         qv = vectors(names)
         sizes = (self.end - self.begin)[at[known]] if len(known) else np.empty(0, np.int64)
-        # A base that fits the beam is met whole.
-        small = known[sizes <= beam]
+        small = known[sizes <= ENTRIES * beam]
         if len(small):
             count = (self.end - self.begin)[at[small]]
             q = np.repeat(small, count)
@@ -119,9 +120,9 @@ class Graph:
                 near = _far(qv[q[s : s + (1 << 16)]], self.vectors[n[s : s + (1 << 16)]]) <= 2
                 q_out.append(q[s : s + (1 << 16)][near])
                 n_out.append(n[s : s + (1 << 16)][near])
-        large = known[sizes > beam]
-        for s in range(0, len(large), 1024):
-            q, n = self._walk(large[s : s + 1024], at, qv, beam)
+        large = known[sizes > ENTRIES * beam]
+        for s in range(0, len(large), 512):
+            q, n = self._walk(large[s : s + 512], at, qv, beam)
             q_out.append(q)
             n_out.append(n)
         return (np.concatenate(q_out), np.concatenate(n_out)) if q_out else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -132,17 +133,14 @@ class Graph:
         v = qv[queries]
         seen = np.zeros((len(queries), int(size.max())), bool)
         # Many entries spread evenly over the base; the nearest of them begin the walk.
-        width = 8 * beam
+        width = ENTRIES * beam
         ids = begin[:, None] + (np.arange(width) * size[:, None]) // width
         seen[rows[:, None], ids - begin[:, None]] = True
         far = _far(self.vectors[ids], v[:, None]).astype(np.int32)
-        # A base of fewer nodes than entries meets some twice.
-        far[:, 1:][ids[:, 1:] == ids[:, :-1]] = 1 << 20
         q_hit, n_hit = [np.nonzero(far <= 2)[0]], [ids[far <= 2]]
         keep = np.argpartition(far, beam - 1, axis=1)[:, :beam]
         ids, far = np.take_along_axis(ids, keep, 1), np.take_along_axis(far, keep, 1)
-        ids = np.where(far < 1 << 20, ids, -1)
-        done = ids < 0
+        done = np.zeros(ids.shape, bool)
         while True:
             best = np.where(done, 1 << 21, far).argmin(1)
             live = ~done[rows, best]
@@ -177,9 +175,9 @@ class Graph:
         """The beam, doubled until sampled searches meet every node that exhaustive search finds within distance 2, and then widened."""
         sizes = self.end - self.begin
         beam = least
-        if not len(sizes) or sizes.max() <= beam:
-            return beam
-        bases = [k for k, i in self.place.items() if sizes[i] > beam]
+        if not len(sizes) or sizes.max() <= ENTRIES * beam:
+            return beam * widen
+        bases = [k for k, i in self.place.items() if sizes[i] > ENTRIES * beam]
         picks = [(k, n) for k in bases[:: max(1, len(bases) // 8)] for n in range(int(self.begin[self.place[k]]), int(self.end[self.place[k]]), max(1, int(sizes[self.place[k]]) // 6))][:sample]
         names = [self.names[n] for _, n in picks]
         want = set(zip(*(x.tolist() for x in self.search([k for k, _ in picks], names, beam=1 << 30)), strict=True))

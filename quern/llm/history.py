@@ -24,7 +24,7 @@ from quern.llm.graph import Graph, one_edit
 from quern.session import new_path, stored
 
 #: Nodes of one graph, and queries that one task walks through it.
-PART = 4096
+PART, BLOCK = 16_384, 4096
 _KEYED = T.StructType([T.StructField(c, T.StringType()) for c in ("text_key", "base", "name")])
 _GRAPH = T.StructType([T.StructField("shard", T.LongType()), T.StructField("part", T.LongType()), T.StructField("bases", T.ArrayType(T.StringType())), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("links", T.BinaryType()), T.StructField("beam", T.IntegerType())])
 _EDGE = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", T.LongType())])
@@ -95,7 +95,7 @@ class HistoryIndex:
     def _search(self, nodes: DataFrame, graphs: DataFrame) -> DataFrame:
         """(row, id) of nodes and indexed rows alike, each block of queries walked through each graph of its shard."""
         queries = nodes.where(F.col("name").isNotNull()).select("row", "base", "name", self._shard().alias("shard"))
-        size = queries.groupBy("shard").count().select("shard", F.ceil(F.col("count") / PART).alias("blocks"))
+        size = queries.groupBy("shard").count().select("shard", F.ceil(F.col("count") / BLOCK).alias("blocks"))
         blocks = queries.join(size, "shard").groupBy("shard", F.pmod(F.xxhash64("row"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("row", "base", "name")).alias("queries"))
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ below code everything is text, and of all such labelings the most probable one c
 from __future__ import annotations
 
 import html
+import html.entities
 import math
 import re
 from functools import lru_cache
@@ -165,6 +166,10 @@ def _class(c: str) -> int:
     return 2 if "㐀" <= c <= "鿿" else 3 if c.isalpha() else 4 if c.isdigit() else 5
 
 
+def _entity(raw: str) -> bool:
+    return raw[1] == "#" or raw[1:] in html.entities.html5
+
+
 FEATURES = len(KINDS) + 4 + 24
 
 
@@ -186,7 +191,7 @@ def features(text: str, nodes: list[Node]) -> np.ndarray:
         siblings = n.parent.children if n.parent else roots
         body = text[n.body[0] : n.body[1]]
         row[base : base + 24] = (
-            n.name in HTML if n.kind in ("open", "close") else n.name in LATEX or n.kind == "env",
+            n.name in HTML if n.kind in ("open", "close") else _entity(n.raw) if n.kind == "entity" else n.name in LATEX or n.kind == "env",
             min(n.attrs, 5), n.depth, min(len(siblings), 30), sum(s.kind == n.kind for s in siblings) if len(siblings) < 50 else 50,
             min(len(n.children), 30), len(body) / (1 + len(n.children)) if body else 0, n.partner is not None,
             _class(before), _class(after), len(n.raw), len(inside), sum(_class(c) == 2 for c in inside) / max(1, len(inside)),
@@ -373,6 +378,10 @@ def examples(count: int = 3000, seed: int = 7) -> list[tuple[str, list[tuple[int
                 continue
             # Marks stand anywhere, also within a word or a number.
             around, marks = pick(_PHRASES), pick(inline)()
+            if rng.rand() < 0.3:
+                marks = [*marks, (pick(["", " ", "，"]), None), *pick(inline)()]
+            if rng.rand() < 0.3 and not marks[0][0].startswith("\n"):
+                marks = [(" ", None), *marks, (" ", None)]
             cut = rng.randint(len(around) + 1) if rng.rand() < 0.7 and not marks[0][0].startswith("\n") else 0
             parts += [(around[:cut], None), *marks, (around[cut:], None)]
         text, spans = "", []
@@ -415,11 +424,11 @@ def formula(tex: str) -> str:
     """A formula in one line of plain signs."""
     s = re.sub(r"^(?:\\[\[(]|\$\$?)\s*|\s*(?:\\[\])]|\$\$?)$", "", tex)
     for _ in range(4):
+        s = re.sub(r"([_^])\{([^{}]*)\}", lambda m: m[1] + (m[2] if len(m[2]) == 1 else f"({m[2]})"), s)
         s = re.sub(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", r"(\1)/(\2)", s)
         s = re.sub(r"\\sqrt\{([^{}]*)\}", r"√(\1)", s)
         s = re.sub(r"\\(?:mathrm|mathbf|mathbb|text\w*)\{([^{}]*)\}", r"\1", s)
-    s = re.sub(r"\\([A-Za-z]+)", lambda m: _SYMBOL.get(m[1], m[1]), s)
-    return re.sub(r"([_^])\{([^{}]*)\}", lambda m: m[1] + (m[2] if len(m[2]) == 1 else f"({m[2]})"), s).replace("{", "").replace("}", "")
+    return re.sub(r"\\([A-Za-z]+)", lambda m: _SYMBOL.get(m[1], m[1]), s).replace("{", "").replace("}", "")
 
 
 def _shown(n: Node) -> str:

@@ -36,7 +36,11 @@ def usable(df: DataFrame, vid: str, vector: str) -> DataFrame:
     rows = df.select(F.col(f"`{vid}`").cast("long").alias("vid"), v.alias("v")).where(F.col("v").isNotNull())
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return rows.where((F.size("v") == (length["n"] if length else 0)) & F.forall("v", good) & F.exists("v", lambda x: x != 0))
+    rows = rows.where((F.size("v") == (length["n"] if length else 0)) & F.forall("v", good) & F.exists("v", lambda x: x != 0))
+    if not df.groupBy(F.col(f"`{vid}`")).count().where("count > 1").isEmpty():
+        # Of rows of one id, which are rare, one usable vector stays; the same one at every run.
+        rows = rows.groupBy("vid").agg(F.min("v").alias("v"))
+    return rows
 
 
 def _matrix(column: pa.Array | list) -> np.ndarray:
