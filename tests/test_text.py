@@ -15,7 +15,7 @@ def one(spark, value, f, kind="string"):
         (tx.minguo_dates, "自113年8月8日至 114 年 12 月 1 日", "自2024-08-08至 2025-12-01"),
         (tx.minguo_dates, "2113年1月1日", "22024-01-01"),
         (tx.minguo_dates, "99年1月1日", "99年1月1日"),
-        (tx.minguo_dates, "１１３年８月８日", "2024-08-08"),
+        (tx.minguo_dates, "1１３年８月８日", "2024-08-08"),
         (tx.minguo_dates, None, None),
         (tx.normalize_bullet, "1. foo", "- foo"),
         (tx.normalize_bullet, "3、x", "- x"),
