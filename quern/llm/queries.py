@@ -91,6 +91,24 @@ def p10_shared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
 
 
+_P4 = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM chunk_vectors
+  WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b
+FROM v a JOIN v b ON a.vec_id < b.vec_id
+WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.9
+"""
+
+_P10 = """
+WITH w AS (
+  SELECT doc_id, substring(text, i, 120) AS span
+  FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 119)) AS i FROM documents WHERE length(text) >= 120)
+)
+SELECT DISTINCT doc_id FROM w WHERE span IN (SELECT span FROM w GROUP BY span HAVING count(DISTINCT doc_id) > 1)
+"""
+
 _P7 = """
 WITH rows AS (
   SELECT query_id, hit_id, id, {usable} FROM search_hits
@@ -135,4 +153,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_ranking": _P7}
+    return {"p4_found": _P4, "p7_ranking": _P7, "p10_found": _P10}
