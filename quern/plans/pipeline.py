@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import PipelineConfig, RetrievalConfig
-from quern.functions.text import checksum, fix_lines, iso8601_taipei, minguo_dates, nfkc, normalize_space, strip, strip_html
+from quern.functions.text import checksum, chunk_id, fix_lines, iso8601_taipei, minguo_dates, nfkc, normalize_space, strip, strip_html
 from quern.operators.bm25 import FullTextIndex, similarity
-from quern.operators.chunk import chunk_documents, chunk_records
+from quern.operators.chunk import chunk_documents, chunk_records, recursive_chunks
 from quern.operators.dedup import drop_table, keep_first, upsert_table
-from quern.operators.prompts import contexts, messages
-from quern.operators.retrieval import asks_for_information, gated, hybrid_search
+from quern.operators.prompts import contexts, messages, prompt, scored_contexts
+from quern.operators.retrieval import asks_for_information, gated, hybrid_search, top_hits
 from quern.operators.vectors import vector_top_k
-from quern.providers import Embedder, HashEmbedder, LexicalReranker, Reranker, embedding
+from quern.providers import Embedder, HashEmbedder, LexicalReranker, Reranker, embedding, with_scores
 from quern.sinks import write_json_lines
+from quern.sources.files import read_files
 
 
 def clean(documents: DataFrame) -> DataFrame:
@@ -101,3 +102,32 @@ def text_context(documents: DataFrame, queries: DataFrame, k: int = 5) -> DataFr
     found = FullTextIndex.build(chunks.select("chunk_id", F.col("chunk_text").alias("text")), fields=("text",)).search(queries, k)
     meta = F.map_from_arrays(F.array(F.lit("title"), F.lit("url")), F.array(F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))))
     return contexts(found.join(chunks.select(F.col("chunk_id").alias("id"), F.col("chunk_text").alias("doc"), meta.alias("meta")), "id"))
+
+
+def ingest(spark: SparkSession, paths: list[str], out: str, size: int = 1000, overlap: int = 100, reset: bool = False, append: bool = False, embedder: Embedder | None = None) -> int:
+    """Files of any readable type as chunks in the vector table ``out``; the number of its rows.
+
+    A chunk's id is that of its file and text, so a file that comes again replaces its chunks; with ``append`` rows are
+    added whether known or not. Files that cannot be read are left out; ``read_files`` tells why.
+    """
+    pieces = read_files(spark, *paths).where(F.col("text").isNotNull()).select("source", F.posexplode(recursive_chunks(size, overlap)("text")).alias("n", "document"))
+    rows = pieces.select(chunk_id(F.col("source"), F.col("document")).alias("chunk_id"), "document", F.create_map(F.lit("source"), F.col("source")).alias("metadata"), embedding(embedder or HashEmbedder(), F.col("document")).alias("embedding"), F.col("n").alias("__n"))
+    if reset:
+        drop_table(spark, out)
+    if append:
+        rows.write.mode("append").parquet(out)
+        return spark.read.parquet(out).count()
+    return upsert_table(spark, out, rows, "chunk_id", ["__n"]).count()
+
+
+def assistant_prompts(queries: DataFrame, vectors: DataFrame, histories: DataFrame | None = None, pool: int = 5, top: int = 3, embedder: Embedder | None = None, reranker: Reranker | None = None) -> DataFrame:
+    """(query_id, prompt): the best ``top`` of the ``pool`` nearest chunks of each query with their scores, and its history.
+
+    queries: query_id, query; histories: query_id, history. A query without hits has an empty context.
+    """
+    embedded = queries.select("query_id", embedding(embedder or HashEmbedder(), F.col("query")).alias("vector"))
+    near = vector_top_k(embedded, vectors, pool, vector_id="chunk_id").join(vectors.select("chunk_id", F.col("document").alias("doc")), "chunk_id").withColumnRenamed("rank", "place")
+    scored = with_scores(near.join(queries, "query_id"), reranker or LexicalReranker(), "query", "doc", "rr_score")
+    asked = queries.join(scored_contexts(top_hits(scored, top)), "query_id", "left")
+    asked = asked.join(histories, "query_id", "left") if histories is not None else asked.withColumn("history", F.lit(""))
+    return asked.select("query_id", prompt(F.col("query"), F.col("context"), F.col("history")).alias("prompt"))

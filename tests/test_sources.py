@@ -158,3 +158,21 @@ def test_providers():
 
     assert with_retry(flaky, pause=0) == "ok"
     assert project_root(__file__).name
+
+
+def test_ingest_and_prompts(spark, tmp_path, capsys):
+    from quern.__main__ import main
+
+    (tmp_path / "a.txt").write_text("圖書館十點開門\n\n" + "x" * 30, encoding="utf-8")
+    out = str(tmp_path / "v")
+    assert pipeline.ingest(spark, [str(tmp_path / "a.txt")], out, 20, 5) == pipeline.ingest(spark, [str(tmp_path / "a.txt")], out, 20, 5) == 3
+    assert pipeline.ingest(spark, [str(tmp_path / "a.txt")], out, 20, 5, append=True) == 6
+    assert pipeline.ingest(spark, [str(tmp_path / "a.txt")], out, 20, 5, reset=True) == 3
+    queries = spark.createDataFrame([(1, "圖書館")], "query_id int, query string")
+    history = spark.createDataFrame([(1, "user: hi")], "query_id int, history string")
+    text = pipeline.assistant_prompts(queries, spark.read.parquet(out), history).first().prompt
+    assert "圖書館十點開門" in text and "user: hi" in text and text.endswith("圖書館")
+    (tmp_path / "r.jsonl").write_text(json.dumps({"text": "甲。", "title": "T", "url": "u"}), encoding="utf-8")
+    main(["build", "--in-jsonl", str(tmp_path / "*.jsonl"), "--out", str(tmp_path / "b")])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["chunks"] == 1
+    assert spark.read.parquet(str(tmp_path / "b" / "vectors")).first().metadata["site_slug"] == "r"
