@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import stored
+
 # Units in bytes and in hertz. The longer spelling comes first where one begins another.
 MEMORY = {
     "Tbit": 2**37, "Gbit": 2**27, "Mbit": 2**17, "Kbit": 2**7, "太位元組": 2**40, "吉位元組": 2**30, "十億位元組": 2**30, "兆位元組": 2**20, "百萬位元組": 2**20, "千位元組": 2**10, "位元組": 1,
@@ -130,7 +132,8 @@ def with_common_units(df: DataFrame, fields: dict[str, str], row: str, source: s
     """
     texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("raw")) for f in fields))).alias("f")
     rows = df.select(F.col(f"`{row}`").alias("row"), F.col(f"`{source}`").alias("source"), (F.col(f"`{remark}`") if remark else F.lit(None).cast("string")).alias("remark"), texts)
-    parsed = rows.select("row", "source", F.col("f.field_name").alias("field_name"), F.col("f.raw").alias("raw"), _parser(fields)("f.field_name", "f.raw", "remark").alias("alternatives"))
+    # Levels, histories and the result all read the parsed values, so they are parsed once and kept.
+    parsed = stored(rows.select("row", "source", F.col("f.field_name").alias("field_name"), F.col("f.raw").alias("raw"), _parser(fields)("f.field_name", "f.raw", "remark").alias("alternatives")), "quantities")
     one = F.when(F.size("alternatives") == 1, F.element_at("alternatives", 1)["value"])
     levels = (
         parsed.select("source", "field_name", F.round(F.log(one), 2).alias("level")).where(F.col("level").isNotNull())
