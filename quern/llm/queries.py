@@ -19,6 +19,9 @@ from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The weights of the three scores of a hit, chosen by the grades of one table and confirmed on another.
+SCORE_WEIGHTS = {"vec_sim": 1.0, "bm25_sim": 0.5, "rr_score": 1.0}
+
 
 def _canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     courses = table(spark, sf_dir, "course_table_row").select(F.lit("course_table_row").alias("table_name"), "rec_no", F.col("course_name").alias("value"))
@@ -67,7 +70,7 @@ def p6_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ideal_point_ranking(table(spark, sf_dir, "search_hits"), {"vec_sim": 1.0, "bm25_sim": 1.0, "rr_score": 1.0}).select("query_id", "hit_id", "rank")
+    return ideal_point_ranking(table(spark, sf_dir, "search_hits"), SCORE_WEIGHTS).select("query_id", "hit_id", "rank")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +136,7 @@ WITH rows AS (
 SELECT query_id, hit_id, rank FROM rows JOIN ranked USING (query_id, id)
 """.format(
     **{
-        k: sep.join(f.format(n) for n in ("vec_sim", "bm25_sim", "rr_score"))
+        k: sep.join(f.format(n, w / sum(SCORE_WEIGHTS.values())) for n, w in SCORE_WEIGHTS.items())
         for k, sep, f in (
             ("usable", ", ", "nullif(CASE WHEN isfinite({0}) THEN {0} END, 0) AS {0}"),
             ("best", ", ", "max({0}) AS {0}"),
@@ -141,8 +144,8 @@ SELECT query_id, hit_id, rank FROM rows JOIN ranked USING (query_id, id)
             ("clipped", ", ", "CASE WHEN {0} IS NOT NULL THEN least(greatest({0}, {0}_l), {0}_h) - {0}_l END AS {0}"),
             ("norms", ", ", "nullif(sqrt(sum({0} * {0})), 0) AS {0}_n, max({0}) AS {0}_max, min({0}) AS {0}_min"),
             ("has", " + ", "({0} IS NOT NULL)::INT"),
-            ("to_best", " + ", "coalesce(power(({0}_max - {0}) / coalesce({0}_n, 1) / 3, 2), 0)"),
-            ("to_worst", " + ", "coalesce(power(({0} - {0}_min) / coalesce({0}_n, 1) / 3, 2), 0)"),
+            ("to_best", " + ", "coalesce(power(({0}_max - {0}) * ({1} / coalesce({0}_n, 1)), 2), 0)"),
+            ("to_worst", " + ", "coalesce(power(({0} - {0}_min) * ({1} / coalesce({0}_n, 1)), 2), 0)"),
         )
     }
 )
