@@ -28,7 +28,8 @@ TEXT, WRAP, WASTE = 0, 1, 2
 # Names of HTML elements and LaTeX commands that occur in running text.
 HTML = set("a abbr b blockquote body br button caption center cite code col colgroup dd del div dl dt em figure footer font form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins label li link main mark meta nav nowiki ol option p pre ref s script section select small span strike strong style sub sup table tbody td textarea tfoot th thead title tr tt u ul video".split())
 BLOCKS = set("p div li ul ol table tr h1 h2 h3 h4 h5 h6 blockquote section article header footer dl dt dd pre hr br figure".split())
-WASTED = {"script", "style", "head", "iframe", "nav", "form", "select", "button"}
+#: Elements and commands that go with their content.
+WASTED = {"script", "style", "head", "iframe", "nav", "form", "select", "button", "footnote", "includegraphics", "label", "vspace", "hspace", "usepackage"}
 LATEX = set("alpha begin beta bf big cdot chapter cite delta emph end epsilon footnote frac gamma geq href hspace include infty int it item label lambda left leq ldots ln log mathbb mathbf mathrm mu neq noindent omega paragraph part partial pi pm prod quad ref rho right section sigma sin cos sqrt subsection subsubsection sum textbf textit textrm textsc texttt theta times title underline url usepackage vspace".split())
 
 KINDS = ["comment", "open", "close", "entity", "fence", "code", "image", "link", "heading", "quote", "rule", "row", "bullet", "wikihead", "wikitable", "wikilink", "template", "quotes", "env", "math", "command", "stars", "unders", "tildes", "dollar", "angle", "bracket", "brace", "hash", "equals", "less", "amp", "pipe", "backslash"]
@@ -50,8 +51,8 @@ _SCAN = re.compile(
     | ^(?P<quote>[ ]{0,3}>[ ]?)(?=\S)
     | ^[ ]{0,3}(?P<rule>(?:-{3,}|\*{3,}|_{3,}))[ ]*$
     | ^(?P<wikitable>\{\|[^\n]*|\|[-}][ ]*(?=$))
-    | ^(?P<wikihead>={2,6}(?=[ ]?[^=\n]*[^=\n]={2,6}[ ]*$))
-    | (?P<wikitail>={2,6})[ ]*$
+    | ^(?P<wikihead>={2,6}[ ]?(?=[^=\n]*[^=\n]={2,6}[ ]*$))
+    | (?P<wikitail>[ ]?={2,6})[ ]*$
     | ^(?P<row>[|!](?![|\]])(?:[^\n]*[|][ ]*(?=$)|[^\n]*\|\|[^\n]*|[^\n]*))
     | ^(?P<bullet>[ ]{0,6}[*+•‧●◦][ ]+)(?=\S)
     | (?P<wikilink>\[\[[^\[\]\n]*\]\])
@@ -336,7 +337,7 @@ def examples(count: int = 3000, seed: int = 7) -> list[tuple[str, list[tuple[int
         lambda: [("{{" + word() + f"|n={num()}" + "}}", WASTE)],
         lambda: [(pick([f"$O(n^{{{num()}}}\\log n)$", f"\\(\\frac{{{num()}}}{{x_1}}\\)", f"\\[ S = \\sum_{{i=1}}^{{{num()}}} a_i \\]", f"$x_{num()} + y^2$", "$\\alpha$"]), WRAP)],
         lambda: [(f"\\{pick(['textbf', 'emph', 'underline', 'section', 'subsection', 'paragraph', 'textit', 'texttt'])}{{{word()}}}", WRAP)],
-        lambda: [(f"\\footnote{{見 {num()}}}", WASTE)],
+        lambda: [(f"\\{pick(['footnote', 'footnote', 'label', 'includegraphics'])}{{{word()} {num()}}}", WASTE)],
         lambda: [("\\begin{itemize}", WRAP), ("\\item ", WRAP), (pick(_PHRASES), None), ("\\end{itemize}", WRAP)],
         lambda: line([(pick(["# ", "## ", "### ", "#### "]), WRAP), (word(), None)]),
         lambda: line([("> ", WRAP), (pick(_PHRASES), None)]),
@@ -497,6 +498,7 @@ def clean(text: str, trees: BoostedTrees, scores: np.ndarray | None = None, node
     plain = "".join(out)
     if found:
         plain = re.sub(r"[ \t]+\n", "\n", re.sub(r"｜(?=\s|$)", "", plain))
+        plain = re.sub(r"(?m)^- +", "- ", plain)
         plain = re.sub(r"\n{3,}", "\n\n", plain).strip()
     return plain, found
 

@@ -33,7 +33,7 @@ def ideal_point_ranking(hits: DataFrame, scores: dict[str, float], query: str =
     low, high = quantiles
     total = sum(scores.values())
     names = {s: f"s{i}" for i, s in enumerate(scores)}
-    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{item}`").cast("string")), F.concat(F.lit("#"), F.col(f"`{row}`").cast("string")))
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{item}`").cast("string")), F.concat(F.lit("#"), F.col(f"`{row}`").cast("string")), F.lit("#"))
     rows = hits.select(F.coalesce(F.concat(F.lit("="), F.col(f"`{query}`").cast("string")), F.lit("")).alias("q"), key.alias("k"), F.col(f"`{query}`").alias("query"), F.col(f"`{row}`").alias("row"), F.col(f"`{item}`").alias("item"), *(_usable(s, zero_is_missing).alias(n) for s, n in names.items()))
     items = rows.groupBy("q", "k").agg(F.min("row").alias("first"), *(F.max(n).alias(n) for n in names.values()))
     bounds = items.groupBy("q").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(n, [low, high], 10_000).alias(f"{n}_b") for n in names.values()))

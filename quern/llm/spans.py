@@ -108,9 +108,12 @@ def _merge(places: pd.Series, runs: pd.Series, length: pd.Series) -> pd.Series:
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 120) -> DataFrame:
-    """(doc, at, run): ``run`` windows of ``min_chars`` characters from place ``at`` on that also stand in another document."""
+    """(doc, at, run): ``run`` windows of ``min_chars`` characters from place ``at`` on that also stand in another document.
+
+    Rows without an id are no document.
+    """
     k = max(1, min_chars // 2)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where(F.length("text") >= min_chars)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
     anchors = _repeated(rows.mapInArrow(_anchors(k, min_chars - k + 1), _COUNTED))
     places = stored(anchors.select("doc", F.explode(F.sequence("at", F.col("at") + F.col("run") - 1)).alias("at")).groupBy("doc").agg(F.collect_list("at").alias("places")), "anchors")
     spot = F.pmod(F.xxhash64("doc"), F.lit(_BITS))
@@ -133,6 +136,6 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     blank and shorter texts have none and a share of 0; rows of one id are one document, of which the longest text counts.
     """
     spans = repeated_windows(docs, doc_id, text, min_chars).groupBy("doc").agg(F.collect_list("at").alias("places"), F.collect_list("run").alias("runs")).select("doc", _merge("places", "runs", F.lit(min_chars)).alias("spans"))
-    sizes = docs.groupBy(F.col(f"`{doc_id}`").cast("long").alias("doc")).agg(F.coalesce(F.max(F.length(f"`{text}`")), F.lit(0)).alias("n_chars"))
+    sizes = docs.where(F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").cast("long").alias("doc")).agg(F.coalesce(F.max(F.length(f"`{text}`")), F.lit(0)).alias("n_chars"))
     shared = F.aggregate("spans", F.lit(0), lambda total, x: total + x["end"] - x["start"])
     return sizes.join(spans, "doc", "left").select(F.col("doc").alias(doc_id), "n_chars", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"), F.coalesce(shared, F.lit(0)).alias("shared_chars")).withColumn("shared_share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0))

@@ -33,7 +33,7 @@ def usable(df: DataFrame, vid: str, vector: str) -> DataFrame:
     """(vid, v): vectors of the commonest length, all of finite numbers, not all zero."""
     kind = df.schema[vector].dataType
     v = F.col(f"`{vector}`").cast("array<float>" if isinstance(getattr(kind, "elementType", None), T.FloatType) else "array<double>")
-    rows = df.select(F.col(f"`{vid}`").cast("long").alias("vid"), v.alias("v")).where(F.col("v").isNotNull())
+    rows = df.select(F.col(f"`{vid}`").cast("long").alias("vid"), v.alias("v")).where(F.col("vid").isNotNull() & F.col("v").isNotNull())
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where((F.size("v") == (length["n"] if length else 0)) & F.forall("v", good) & F.exists("v", lambda x: x != 0))
@@ -355,7 +355,7 @@ class VantageIndex:
 def similar_pairs(df: DataFrame, vid: str, vector: str, least: float = 0.9, factor: float = 1.0) -> DataFrame:
     """(``vid``_a, ``vid``_b, similarity), a < b, of vectors with a cosine similarity of at least ``least``.
 
-    Null, all-zero, non-finite and odd-length vectors are in no pair; rows of one id are one vector and make no pair with
+    Null, all-zero, non-finite and odd-length vectors, and those without an id, are in no pair; rows of one id are one vector and make no pair with
     themselves; an empty table gives none. Lengths do not matter. Only the two columns named are read.
     """
     index = VantageIndex(df, vid, vector)
