@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import stored
+
 K1, B = 1.2, 0.75
 #: A term of a third and more of all rows has no positive weight; it gets this one.
 LEAST_IDF = 1e-6
@@ -43,20 +45,24 @@ class FullTextIndex:
     def search(self, queries: DataFrame, k: int = 50, query_id: str = "query_id", query: str = "query") -> DataFrame:
         """(``query_id``, id, score, rank): the k best rows of each query that hold all its terms; smaller scores are better.
 
-        Only the postings of the queries' terms take part; a row's length joins after the terms are met. A query
-        without terms has no rows. Ties are ranked by id.
+        Only the postings of the queries' terms take part. A query meets the rows of its rarest term first and looks its
+        other terms up in those alone, so a hot term that many queries share costs no more than their rarest ones do. A
+        query without terms, or with a term that no row holds, has no rows. Scores are ranked by 9 digits, ties by id.
         """
         asked = queries.select(F.col(query_id).alias("q"), F.explode(tokens(sanitized(F.col(query)))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times"))
         terms = asked.groupBy("q").agg(F.count(F.lit(1)).alias("terms"))
-        held = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        held = stored(self.postings.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
         spread = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        hits = held.join(asked, "term").join(spread, "term").join(self.lengths, "id")
+        priced = stored(asked.join(spread, "term"), "asked")
+        rarest = priced.groupBy("q").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("known")).join(terms, "q").where("known = terms")
+        open_ = held.join(rarest, "term").select("q", "id", "terms")
+        hits = open_.join(priced, "q").join(held, ["term", "id"]).join(self.lengths, "id")
         whole = self.statistics.first()
         raw = F.log((F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         idf = F.when(raw > 0, raw).otherwise(LEAST_IDF)
         weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(whole["mean"] or 1.0)))
-        scored = hits.groupBy("q", "id").agg((-F.sum(weight * F.col("times"))).alias("score"), F.count(F.lit(1)).alias("met")).join(terms, "q").where("met = terms")
-        w = Window.partitionBy("q").orderBy("score", "id")
+        scored = hits.groupBy("q", "id", "terms").agg((-F.sum(weight * F.col("times"))).alias("score"), F.count(F.lit(1)).alias("met")).where("met = terms")
+        w = Window.partitionBy("q").orderBy(F.round("score", 9), "id")
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), "id", "score", "rank")
 
 

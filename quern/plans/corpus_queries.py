@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.functions.records import flatten_json
 from quern.operators import chunk, prompts, retrieval
-from quern.operators.bm25 import FullTextIndex
+from quern.operators.bm25 import FullTextIndex, tokens
 from quern.operators.dedup import existing_checksums, imported_identity, keep_first, unseen, upsert
 from quern.operators.vectors import l2_norm, vector_top_k
 from quern.plans import pipeline
@@ -312,8 +312,15 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ASKED = [(1, "visa letter"), (2, "export? (control)"), (3, "thesis"), (4, "museum archives license"), (5, "因"), (6, "分機 1155"), (7, "the"), (8, ""), (9, "gpu the the")]
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_BM25 = f"""
-    q AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _ASKED)}) AS q(query_id, query)),
+_NINE = f"SELECT * FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in _ASKED)}) AS q(query_id, query)"
+#: Every hundredth document asks with its first words.
+_WORDS = 4
+_EVERY = f"SELECT doc_id AS query_id, array_to_string(list_slice({_TOK.format('text')}, 1, {_WORDS}), ' ') AS query FROM documents WHERE doc_id % 100 = 0"
+
+
+def _bm25(asked: str) -> str:
+    return f"""
+    q AS ({asked}),
     w AS (SELECT doc_id, {_TOK.format("text")} AS t FROM documents),
     l AS (SELECT doc_id, len(t) AS dl, (SELECT count(*) FROM documents) AS n, avg(len(t)) OVER () AS mean FROM w),
     p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM w) GROUP BY ALL),
@@ -324,13 +331,28 @@ _BM25 = f"""
     r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS rank FROM s JOIN (SELECT query_id, count(*) AS terms FROM a GROUP BY query_id) USING (query_id) WHERE met = terms)"""
 
 
-@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM r WHERE rank <= 50")
-def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = FullTextIndex.build(table(spark, sf_dir, "documents"), "doc_id", ("text",))
-    found = index.search(spark.createDataFrame(_ASKED, "query_id int, query string"), 50)
+def _first_words(documents: DataFrame) -> DataFrame:
+    """(query_id, query): the first words of every document whose id is divisible by 100."""
+    return documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, _WORDS), " ").alias("query"))
+
+
+def _documents_found(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    found = FullTextIndex.build(documents, "doc_id", ("text",)).search(queries, 50)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_bm25(_NINE)} SELECT query_id, doc_id, round(score, 6) AS score FROM r WHERE rank <= 50")
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents_found(table(spark, sf_dir, "documents"), spark.createDataFrame(_ASKED, "query_id int, query string"))
+
+
+@query(f"WITH {_bm25(_EVERY)} SELECT query_id, doc_id, round(score, 6) AS score FROM r WHERE rank <= 50")
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of every document whose id is divisible by 100, asked of all documents."""
+    documents = table(spark, sf_dir, "documents")
+    return _documents_found(documents, _first_words(documents))
+
+
 @query(
     """
     WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
@@ -370,5 +392,6 @@ def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents chunked, searched by BM25, and the best chunks of each query as one context."""
-    return pipeline.text_context(table(spark, sf_dir, "documents"), spark.createDataFrame(_ASKED, "query_id int, query string"))
+    """Documents chunked, searched by the first words of every hundredth one, and the best chunks of each query as one context."""
+    documents = table(spark, sf_dir, "documents")
+    return pipeline.text_context(documents, _first_words(documents))

@@ -16,6 +16,7 @@ from quern.operators.prompts import contexts, messages, prompt, scored_contexts
 from quern.operators.retrieval import asks_for_information, gated, hybrid_search, top_hits
 from quern.operators.vectors import vector_top_k
 from quern.providers import Embedder, HashEmbedder, LexicalReranker, Reranker, embedding, with_scores
+from quern.session import stored
 from quern.sinks import write_json_lines
 from quern.sources.files import read_files
 
@@ -98,10 +99,11 @@ def inspect(vectors: DataFrame) -> DataFrame:
 
 def text_context(documents: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, context): documents chunked, repeated chunks dropped, searched by BM25, and the best chunks of each query."""
-    chunks = keep_first(chunk_documents(documents.select("doc_id", "title", "url", "text")), ["chunk_id"], ["doc_id", "chunk_index"])
-    found = FullTextIndex.build(chunks.select("chunk_id", F.col("chunk_text").alias("text")), fields=("text",)).search(queries, k)
+    # Chunks are cut once and kept; the index bears their ids as bytes, which sort as the hexadecimal ones do.
+    chunks = stored(keep_first(chunk_documents(documents.select("doc_id", "title", "url", "text")), ["chunk_id"], ["doc_id", "chunk_index"]), "chunks")
+    found = FullTextIndex.build(chunks.select(F.unhex("chunk_id").alias("chunk_id"), F.col("chunk_text").alias("text")), fields=("text",)).search(queries, k)
     meta = F.map_from_arrays(F.array(F.lit("title"), F.lit("url")), F.array(F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))))
-    return contexts(found.join(chunks.select(F.col("chunk_id").alias("id"), F.col("chunk_text").alias("doc"), meta.alias("meta")), "id"))
+    return contexts(found.join(chunks.select(F.unhex("chunk_id").alias("id"), F.col("chunk_text").alias("doc"), meta.alias("meta")), "id"))
 
 
 def ingest(spark: SparkSession, paths: list[str], out: str, size: int = 1000, overlap: int = 100, reset: bool = False, append: bool = False, embedder: Embedder | None = None) -> int:

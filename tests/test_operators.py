@@ -119,6 +119,18 @@ def test_bm25_equals_sqlite(spark):
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_bm25_of_many_queries_that_share_a_hot_term(spark):
+    texts = [f"the w{i % 7} v{i % 31}" for i in range(300)]
+    index = FullTextIndex.build(spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string"), fields=("text",))
+    queries = [(i, t) for i, t in enumerate(texts)] + [(300, "the the"), (301, "the absent"), (302, ""), (303, None)]
+    got = {}
+    for r in index.search(spark.createDataFrame(queries, "query_id int, query string"), 400).collect():
+        got.setdefault(r.query_id, {})[r.id] = r["rank"]
+    assert got.keys() == set(range(301))
+    for q, t in queries[:301]:
+        assert list(sorted(got[q], key=got[q].get)) == [i for i, x in enumerate(texts) if set(t.split()) <= set(x.split())]
+
+
 def test_similarity_modes(spark):
     row = spark.range(1).select(similarity(F.lit(-3.0)).alias("a"), similarity(F.lit(-0.5), True).alias("b"), similarity(F.lit(-3.0), True).alias("c")).first()
     assert (row.a, row.b, row.c) == (0.75, 2.0, -0.5)

@@ -44,6 +44,18 @@ def test_query(spark, small, duck, name):
     assert got == want
 
 
+def test_every_hundredth_document_is_asked(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(core.oracle_sql()["document_search"]).fetchall()
+    got = core.queries()["document_search"](spark, sf).select("query_id", "doc_id", "score").collect()
+    assert sorted((q, d, round(s, 6)) for q, d, s in got) == sorted((q, d, round(s, 6)) for q, d, s in want)
+    ids = {i for (i,) in con.execute("SELECT doc_id FROM documents WHERE doc_id % 100 = 0 AND regexp_matches(text, '[\\p{L}\\p{N}]')").fetchall()}
+    assert {q for q, *_ in want} == ids
+    assert {r.query_id for r in core.queries()["text_contexts"](spark, sf).collect()} == ids
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
