@@ -293,6 +293,13 @@ def test_ranking_against_a_plain_one(spark, hot):
     assert ideal_point_ranking(df.limit(0), {"a": 1.0}).count() == 0
 
 
+def test_bounds_of_a_hot_query_are_exact(spark):
+    hits = lambda q, n: spark.range(0, n, 1, 7).selectExpr(f"{q} AS query_id", "id AS hit_id", "concat('i', id) AS id", "double(id * 7919 % 300007 + 1) AS a")
+    df = hits(1, 300_000).unionByName(hits(2, 10))
+    got = ideal_point_ranking(df, {"a": 1.0}).groupBy("query_id").agg(F.count_if(F.col("closeness") == 0).alias("low"), F.count_if(F.col("closeness") == 1).alias("high")).collect()
+    assert {tuple(r) for r in got} == {(1, 30_000, 30_001), (2, 1, 2)}
+
+
 def test_no_score_rules_by_its_range(spark):
     rows = [(1, i, f"i{i}", float(i), 10_000.0 * ((i * 7) % 20)) for i in range(1, 20)]
     df = spark.createDataFrame(rows, "query_id int, hit_id int, id string, a double, b double")
