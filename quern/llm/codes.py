@@ -141,7 +141,8 @@ def winnow(hashes: np.ndarray, inside: np.ndarray, w: int) -> np.ndarray:
 
 class _Forms(dict):
     def __missing__(self, code: int) -> str:
-        self[code] = form = "" if 0xD800 <= code < 0xE000 else comparison_form(chr(code))
+        # A mark can join what stands before it; a zero tells of it.
+        self[code] = form = "" if 0xD800 <= code < 0xE000 else "\0" if unicodedata.category(chr(code))[0] == "M" else comparison_form(chr(code))
         return form
 
 
@@ -150,6 +151,5 @@ _forms = _Forms()
 
 def form(text: str) -> str:
     """``comparison_form``, a character at a time where none of them joins its neighbour."""
-    if not text.isascii() and any(unicodedata.category(c)[0] == "M" for c in set(text) if c > "˿"):
-        return comparison_form(text)
-    return text.translate(_forms)
+    plain = text.translate(_forms)
+    return comparison_form(text) if "\0" in plain else plain

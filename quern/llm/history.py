@@ -1,33 +1,47 @@
-"""New batches judged against everything accepted before, without reading the history anew.
+"""New batches judged against everything accepted before, without reprocessing the history.
 
-Accepted rows live in an index of segments, one a batch. A segment holds the keys of its texts and graph shards: small-
-world graphs over the fuzzy field of its rows. A batch drops the texts whose key is known, walks the graphs of all
-segments, ranks what the walks meet by an exact comparison, settles what is alike within the batch in its order, and
-writes what is new as a segment of its own. Two segments of a level are merged into one of the next.
+Accepted rows live in an index of segments, one a batch. A segment holds, shard by shard, the keys of its texts and a
+small-world graph over the fuzzy field of its rows, each packed into one record. A batch is asked of the shards that its
+rows fall into: small batches are sent to the shards where they lie, so the history is neither shuffled nor unpacked row
+by row. What no shard knows is built into graphs of its own; their walks find what is alike within the batch, and they
+become the batch's segment. Segments of a like size are merged, and all are parted anew when the index has doubled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.codes import form
-from quern.llm.graph import Graph, one_edit
-from quern.session import new_path, stored
+from quern.llm.graph import Graph, fixed, one_edit
+from quern.session import Scratch, new_path, stored
 
-#: Nodes of one graph, and queries that one task walks through it.
-PART, BLOCK = 16_384, 4096
-_KEYED = T.StructType([T.StructField(c, T.StringType()) for c in ("text_key", "base", "name")])
-_GRAPH = T.StructType([T.StructField("shard", T.LongType()), T.StructField("part", T.LongType()), T.StructField("bases", T.ArrayType(T.StringType())), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("links", T.BinaryType()), T.StructField("beam", T.IntegerType())])
-_EDGE = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", T.LongType())])
+#: Names of one key in one graph; rows of a batch that may be sent to all tasks; folders of a segment.
+PART, BROADCAST_ROWS, MOST_FOLDERS = 16_384, 100_000, 1024
+#: An index of at most 2^DEEP shards has one folder a segment.
+DEEP = 7
+#: Bytes of a key's digest; keys of parted bases are one byte longer.
+DIGEST = 16
+# Kinds of records in a segment.
+KEYS, GRAPH, REJECTED, OPEN, EDGE, HOT = range(6)
+_RECORD = "kind int, shard long, payload binary, row long, other long"
+_KEYED = T.StructType([T.StructField("text", T.BinaryType()), T.StructField("base", T.BinaryType()), T.StructField("name", T.StringType())])
+_KNOWN = "text binary, row long"
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=DIGEST).digest()
 
 
 @F.pandas_udf(_KEYED)
@@ -39,153 +53,378 @@ def _keyed(source: pd.Series, text: pd.Series, exact: pd.Series, fuzzy: pd.Serie
             y = known[x] = form(x)
         return y
 
-    bases = ["\x1f".join([s, *("\0" if x is None else cached(x) for x in xs)]) for s, xs in zip(source, exact, strict=True)]
-    return pd.DataFrame({"text_key": [form(t) if t is not None else None for t in text], "base": bases, "name": [cached(x) if x is not None else None for x in fuzzy]})
+    bases = [_digest("\x1f".join([s or "", *("\0" if x is None else cached(x) for x in xs)])) for s, xs in zip(source, exact, strict=True)]
+    texts = [_digest(f"{s or ''}\x1f{form(t)}") if t is not None else None for s, t in zip(source, text, strict=True)]
+    return pd.DataFrame({"text": texts, "base": bases, "name": [cached(x) if x is not None else None for x in fuzzy]})
 
 
 def keyed(df: DataFrame, source: Column, row: str, text: str, exact: list[str], fuzzy: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(source, row, text_key, base, name) and ``keep``: a row's text, equal fields and fuzzy field in comparison form."""
+    """(source, row, text, base, name) and ``keep``: digests of a row's text and equal fields in comparison form, and its fuzzy field."""
     fields = F.array(*(F.col(f"`{c}`").cast("string") for c in exact))
     k = _keyed(source, F.col(f"`{text}`"), fields, F.col(f"`{fuzzy}`"))
     return df.select(source.alias("source"), F.col(f"`{row}`").cast("long").alias("row"), *(F.col(f"`{c}`") for c in keep), k.alias("k")).select("source", "row", *keep, "k.*")
 
 
+def subkeys(base: bytes, name: str) -> list[bytes]:
+    """Keys of which two names of one base that are one edit apart share at least one.
+
+    The characters that may not differ are equal in order, and with m the length of the shorter name the first or the
+    last m // 2 characters are equal. So a base of very many names is parted without sending a name to all parts.
+    """
+    bones, out = "".join(c for c in name if fixed(c)), []
+    for m in {len(name), max(0, len(name) - 1)}:
+        h = m // 2
+        out += [b"\x01" + _digest(f"{base.hex()}\x1f{bones}\x1f{m}\x1f{side}") for side in ("<" + name[:h], ">" + name[len(name) - h :])]
+    return sorted(set(out))
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def _subkeys(base: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([subkeys(bytes(b), n) for b, n in zip(base, name, strict=True)])
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
+    """The rows of each shard; they come in the order of shards."""
+    shard, held = None, {}
+    for batch in batches:
+        where = batch.column("shard").to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])).tolist() if len(where) else []
+        for s, e in zip(cuts, [*cuts[1:], len(where)], strict=True):
+            if where[s] != shard:
+                if held:
+                    yield shard, held
+                shard, held = int(where[s]), {c: [] for c in batch.schema.names}
+            for c in held:
+                held[c] += batch.column(c).slice(s, e - s).to_pylist()
+    if held:
+        yield shard, held
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["kind", "shard", "payload", "row", "other"])
+
+
+def _build(judged: bool):
+    """Graphs of the rows of each shard; judged: also which of its rows repeat an earlier one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, held in _by_shard(batches):
+            keys, names, rows = held["key"], held["name"], held["row"]
+            if not judged:
+                first: dict[tuple[bytes, str], int] = {}
+                for k, n, r in zip(keys, names, rows, strict=True):
+                    first[k, n] = min(r, first.get((k, n), r))
+                keys, names, rows = [k for k, _ in first], [n for _, n in first], list(first.values())
+            g = Graph(keys, names, rows)
+            out: list[tuple] = []
+            if judged:
+                earlier: dict[int, set[int]] = defaultdict(set)
+                for i, n in zip(*(x.tolist() for x in g.search(keys, names)), strict=True):
+                    if g.rows[n] < rows[i] and one_edit(names[i], g.names[n]):
+                        earlier[rows[i]].add(int(g.rows[n]))
+                unsure, state = {r for r, f in zip(rows, held["unsure"], strict=True) if f}, {}
+                for row in sorted(set(rows)):
+                    states = {state[o] for o in earlier[row]}
+                    state[row] = REJECTED if None in states else OPEN if row in unsure or OPEN in states else None
+                out += [(k, shard, None, row, None) for row, k in state.items() if k is not None]
+                out += [(EDGE, shard, None, row, o) for row, k in state.items() if k == OPEN for o in earlier[row] if state[o] == OPEN]
+                g.dead |= np.isin(g.rows, [row for row, k in state.items() if k == REJECTED])
+            yield _records([(GRAPH, shard, g.pack(), None, None), *out])
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which texts and rows a shard of accepted rows knows: equal keys, and names one edit from what the walks meet."""
+    for batch in batches:
+        texts, rows = [], []
+        for i in range(batch.num_rows):
+            kind, payload, asked = (batch.column(c)[i].as_py() for c in ("kind", "payload", "asked"))
+            if kind == KEYS:
+                held = {payload[j : j + DIGEST] for j in range(0, len(payload), DIGEST)}
+                texts += [q["key"] for q in asked if q["key"] in held]
+            else:
+                g = Graph.unpack(payload)
+                names = [q["name"] for q in asked]
+                hits = zip(*(x.tolist() for x in g.search([q["key"] for q in asked], names)), strict=True)
+                rows += {asked[q]["row"] for q, n in hits if one_edit(names[q], g.names[n])}
+        yield pa.RecordBatch.from_arrays([pa.array(texts + [None] * len(rows), pa.binary()), pa.array([None] * len(texts) + rows, pa.int64())], ["text", "row"])
+
+
+def _living(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            nodes = Graph.unpack(payload).living()
+            yield pa.RecordBatch.from_arrays([pa.array([n[j] for n in nodes], t) for j, t in enumerate((pa.binary(), pa.string(), pa.int64()))], ["key", "name", "row"])
+
+
+def _bury(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, payload, rows in zip(*(batch.column(c).to_pylist() for c in ("shard", "payload", "rows")), strict=True):
+            g = Graph.unpack(payload)
+            g.dead |= np.isin(g.rows, rows or [])
+            yield _records([(GRAPH, shard, g.pack(), None, None)])
+
+
 class HistoryIndex:
-    """The index of accepted rows under ``path``; rows are named by a number unique over all sources."""
+    """The index of accepted rows under ``path``; rows are named by a number unique over all sources.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, rows_per_shard: int = 2048, fan: int = 2):
-        self.spark, self.path, self.rows_per_shard, self.fan = spark, path or new_path(spark, "history"), rows_per_shard, fan
+    The number of shards doubles with the index. Folders part a segment's shards, and a batch reads only the folders that
+    its rows fall into.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, rows_per_shard: int = 2048, fan: int = 4, part: int = PART):
+        self.spark, self.path, self.rows_per_shard, self.fan, self.part = spark, path or new_path(spark, "history"), rows_per_shard, fan, part
         jvm = spark.sparkContext._jvm
         self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        manifest = self._at("manifest.json")
-        self.state = {"shards": 0, "next": 0, "segments": []}
-        if self._fs.exists(manifest):
+        self.state = {"depth": 0, "next": 0, "segments": []}
+        if self._fs.exists(self._at("manifest.json")):
             self.state = json.loads(self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0])
 
-    def _commit(self) -> None:
-        """The manifest alone says which segments count, so a lost write leaves the index as it was."""
+    # -- storage
+
+    def _commit(self, segments: list[dict], depth: int | None = None) -> None:
+        """The manifest alone says which segments count, so a lost write leaves the index as it was; then old ones go."""
+        old = [s["id"] for s in self.state["segments"] if s not in segments]
+        self.state |= {"segments": segments, "depth": self.state["depth"] if depth is None else depth}
         out = self._fs.create(self._at("manifest.json"), True)
         out.write(bytearray(json.dumps(self.state).encode()))
         out.close()
+        for n in old:
+            self._fs.delete(self._at(f"segment={n}"), True)
+
+    def _new(self) -> int:
+        self.state["next"] += 1
+        return self.state["next"] - 1
+
+    def _read(self, kind: int, segments: list[int]) -> DataFrame:
+        paths = [f"{self.path}/segment={n}" for n in segments]
+        found = self.spark.read.option("basePath", self.path).schema("shard long, payload binary, row long, other long, segment int, kind int, folder int").parquet(*paths)
+        return found.where(F.col("kind") == kind)
+
+    def _write(self, records: DataFrame, n: int, mode: str = "overwrite") -> None:
+        records.withColumn("folder", self._folder()).write.mode(mode).partitionBy("kind", "folder").parquet(f"{self.path}/segment={n}")
+
+    def _folder(self) -> Column:
+        return F.pmod("shard", F.lit(min(MOST_FOLDERS, 1 << max(0, self.state["depth"] - DEEP)))).cast("int")
+
+    def _shard(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(1 << self.state["depth"]))
+
+    def _tasks(self) -> int:
+        return max(1, min(1 << self.state["depth"], max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), (1 << self.state["depth"]) // 8)))
+
+    # -- routing
+
+    def _routes(self, nodes: DataFrame, hot: DataFrame | None, both: bool) -> DataFrame:
+        """(shard, block, key, name, row, unsure): names by the key of their base; those of hot bases by subkeys (``both``: too)."""
+        named = nodes.where(F.col("name").isNotNull()).select("base", "name", "row", F.coalesce("shared", F.lit(False)).alias("unsure"))
+        if hot is None:
+            routed = named.select(F.lit(0).alias("block"), F.col("base").alias("key"), "name", "row", "unsure")
+        else:
+            named = named.join(hot, "base", "left")
+            block = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int").alias("block")
+            plain = (named if both else named.where(F.col("parts").isNull())).select(block, F.col("base").alias("key"), "name", "row", "unsure")
+            parted = named.where(F.col("parts").isNotNull()).select(F.lit(0).alias("block"), F.explode(_subkeys("base", "name")).alias("key"), "name", "row", F.lit(True).alias("unsure"))
+            routed = plain.unionByName(parted)
+        return routed.withColumn("shard", self._shard("key"))
+
+    def _hot(self, nodes: DataFrame, n: int, key: str = "base") -> DataFrame | None:
+        """(base, parts) of bases with more names than one graph may hold."""
+        if n <= self.part:
+            return None
+        counts = nodes.where(F.octet_length(key) == DIGEST).groupBy(F.col(key).alias("base")).count()
+        hot = stored(counts.where(F.col("count") > self.part).select("base", F.ceil(F.col("count") / self.part).alias("parts")), "hot")
+        return None if hot.isEmpty() else hot
+
+    # -- segments
+
+    def _graphs(self, routed: DataFrame, n: int, judged: bool) -> None:
+        columns = ["shard", "key", "name", "row", *(["unsure"] if judged else [])]
+        self._write(routed.select(*columns).repartition(self._tasks(), "shard").sortWithinPartitions("shard", "row").mapInArrow(_build(judged), _RECORD), n)
+
+    def _keys(self, texts: DataFrame, n: int) -> None:
+        packed = texts.withColumn("shard", self._shard("text")).groupBy("shard").agg(F.listagg("text").alias("payload"))
+        self._write(packed.select(F.lit(KEYS).alias("kind"), "shard", "payload", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("other")), n, "append")
+
+    def _note_hot(self, hot: DataFrame | None, n: int) -> int:
+        if hot is None:
+            return 0
+        self._write(hot.select(F.lit(HOT).alias("kind"), F.col("parts").alias("shard"), F.col("base").alias("payload"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("other")), n, "append")
+        return 1
+
+    def _merge(self, old: list[dict], depth: int) -> None:
+        """One segment of several, parted by ``depth``; dead nodes do not go over."""
+        ids, self.state["depth"], n = [s["id"] for s in old], depth, self._new()
+        nodes = self._read(GRAPH, ids).select("payload").mapInArrow(_living, "key binary, name string, row long")
+        total = sum(s["rows"] for s in old)
+        hot = self._hot(nodes, total, "key")
+        self._graphs(self._routes(nodes.select(F.col("key").alias("base"), "name", "row", F.lit(False).alias("shared")), hot, False), n, False)
+        pieces = F.transform(F.sequence(F.lit(0), (F.octet_length("payload") / DIGEST).cast("int") - 1), lambda i: F.substring("payload", i * DIGEST + 1, F.lit(DIGEST)))
+        self._keys(self._read(KEYS, ids).select(F.explode(pieces).alias("text")), n)
+        known = self._note_hot(hot, n)
+        for s in old:
+            if s["hot"]:
+                self._write(self._read(HOT, [s["id"]]).select("kind", "shard", "payload", "row", "other"), n, "append")
+        self._commit([s for s in self.state["segments"] if s not in old] + [{"id": n, "rows": total, "hot": known + sum(s["hot"] for s in old)}], depth)
 
-    def _read(self, kind: str, segments: list[dict] | None = None) -> DataFrame | None:
-        paths = [f"{self.path}/segment-{s['id']}/{kind}" for s in (self.state["segments"] if segments is None else segments)]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    # -- graphs
-
-    def _shard(self) -> Column:
-        return F.pmod(F.xxhash64("base"), F.lit(self.state["shards"]))
-
-    def _build(self, nodes: DataFrame) -> DataFrame:
-        """Graph shards of nodes (row, base, name). A base of more than ``PART`` nodes is parted over several graphs."""
-        nodes = nodes.where(F.col("name").isNotNull()).select("row", "base", "name")
-        hot = nodes.groupBy("base").count().where(F.col("count") > PART).select("base", F.ceil(F.col("count") / PART).alias("parts"))
-        parted = nodes.join(hot, "base", "left").withColumns({"shard": self._shard(), "part": F.when(F.col("parts").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("name", "row"), F.coalesce("parts", F.lit(1))))})
-
-        def build(frame: pd.DataFrame) -> pd.DataFrame:
-            order = Graph.order(frame["base"].tolist())
-            frame = frame.iloc[order]
-            g = Graph(frame["base"].tolist(), frame["name"].tolist())
-            return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "part": [frame["part"].iloc[0]], "bases": [frame["base"].tolist()], "names": [g.names], "ids": [frame["row"].tolist()], "links": [g.links.tobytes()], "beam": [g.beam]})
-
-        return parted.select("shard", "part", "row", "base", "name").groupBy("shard", "part").applyInPandas(build, _GRAPH)
-
-    def _search(self, nodes: DataFrame, graphs: DataFrame) -> DataFrame:
-        """(row, id) of nodes and indexed rows alike, each block of queries walked through each graph of its shard."""
-        queries = nodes.where(F.col("name").isNotNull()).select("row", "base", "name", self._shard().alias("shard"))
-        size = queries.groupBy("shard").count().select("shard", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-        blocks = queries.join(size, "shard").groupBy("shard", F.pmod(F.xxhash64("row"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("row", "base", "name")).alias("queries"))
-
-        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    r = batch.slice(i, 1).to_pylist()[0]
-                    g = Graph(r["bases"], r["names"], np.frombuffer(r["links"], np.int32).reshape(len(r["names"]), -1), r["beam"])
-                    names = [q["name"] for q in r["queries"]]
-                    found = zip(*(x.tolist() for x in g.search([q["base"] for q in r["queries"]], names)), strict=True)
-                    pairs = [(r["queries"][q]["row"], r["ids"][n]) for q, n in found if one_edit(names[q], g.names[n])]
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["row", "id"])
-
-        return blocks.join(graphs.select("shard", "bases", "names", "ids", "links", "beam"), "shard").select("queries", "bases", "names", "ids", "links", "beam").mapInArrow(walk, _EDGE)
+    def _compact(self) -> None:
+        """``fan`` segments of one order of size become one, until no order has so many."""
+        while True:
+            orders = defaultdict(list)
+            for s in self.state["segments"]:
+                orders[int(math.log(max(s["rows"], 1), self.fan))].append(s)
+            full = next((orders[k] for k in sorted(orders) if len(orders[k]) >= self.fan), None)
+            if full is None:
+                return
+            self._merge(full, self.state["depth"])
+
+    def _grow(self, n: int) -> None:
+        """Shards for ``n`` rows more; where they would be too large, all segments are parted anew by twice as many or more."""
+        total, depth = sum(s["rows"] for s in self.state["segments"]) + n, self.state["depth"]
+        while total > 2 * self.rows_per_shard << depth:
+            depth += 1
+        if depth > self.state["depth"]:
+            if self.state["segments"]:
+                self._merge(list(self.state["segments"]), depth)
+            self.state["depth"] = depth
 
     # -- batches
 
     @staticmethod
-    def _nodes(rows: DataFrame) -> DataFrame:
-        """The first row of each text; rows without text are rows of their own."""
-        key = F.coalesce(F.concat(F.lit("="), F.col("text_key")), F.concat(F.lit("#"), F.col("row").cast("string")))
-        return rows.groupBy("source", key.alias("text_key")).agg(F.min_by(F.struct("row", "base", "name"), "row").alias("n")).select("source", "text_key", "n.*")
-
-    def _add(self, nodes: DataFrame) -> None:
-        n = self.state["next"]
-        at = f"{self.path}/segment-{n}"
-        nodes.select("source", "text_key").write.mode("overwrite").parquet(f"{at}/texts")
-        self._build(nodes).write.mode("overwrite").parquet(f"{at}/graphs")
-        self.state["segments"].append({"id": n, "level": 0})
-        self.state["next"] = n + 1
+    def _nodes(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """(text, base, name, row, shared): the first row of each kind; shared: its text stands with other fields too."""
+        alone = F.when(F.col("text").isNull() & F.col("name").isNull(), F.col("row"))
+        first = rows.groupBy(*by, "text", "base", "name", alone.alias("alone")).agg(F.min("row").alias("row")).drop("alone")
+        many = first.where(F.col("text").isNotNull()).groupBy(*by, "text").count().where(F.col("count") > 1).select(*by, "text", F.lit(True).alias("shared"))
+        return first.join(many, [*by, "text"], "left")
+
+    def _sizes(self, nodes: DataFrame) -> tuple[int, bool]:
+        """How many ``nodes`` there are, and whether any shares its text with other fields."""
+        r = nodes.agg(F.count(F.lit(1)).alias("n"), F.count("shared").alias("shared")).first()
+        return r.n, r.shared > 0
+
+    def _asked(self, nodes: DataFrame, hot: DataFrame | None) -> DataFrame:
+        """(kind, shard, asked, folder): what each shard is asked, in blocks that a task can hold."""
+        texts = nodes.where(F.col("text").isNotNull()).select("text").distinct().select(F.lit(KEYS).alias("kind"), self._shard("text").alias("shard"), F.lit(0).alias("block"), F.struct(F.col("text").alias("key"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("row")).alias("q"))
+        held = [s["id"] for s in self.state["segments"] if s["hot"]]
+        if held:
+            known = self._read(HOT, held).select(F.col("payload").alias("base"), F.col("shard").alias("parts"))
+            hot = (known.unionByName(hot) if hot is not None else known).groupBy("base").agg(F.max("parts").alias("parts"))
+        near = self._routes(nodes, hot, True).select(F.lit(GRAPH).alias("kind"), "shard", "block", F.struct("key", "name", "row").alias("q"))
+        return texts.unionByName(near).groupBy("kind", "shard", "block").agg(F.collect_list("q").alias("asked")).withColumn("folder", self._folder())
+
+    def _known(self, nodes: DataFrame, hot: DataFrame | None, n: int) -> DataFrame:
+        """(text, row) of ``nodes`` that the history knows."""
+        asked = self._asked(nodes, hot)
+        held = self.spark.read.option("basePath", self.path).schema("shard long, payload binary, kind int, folder int").parquet(*(f"{self.path}/segment={s['id']}" for s in self.state["segments"]))
+        held = held.where(F.col("kind").isin(KEYS, GRAPH))
+        if n <= BROADCAST_ROWS:
+            # A small batch goes to the shards, and of many folders only those that it falls into are read.
+            if self.state["depth"] > DEEP:
+                held = held.where(F.col("folder").isin([r[0] for r in asked.select("folder").distinct().collect()]))
+            asked = F.broadcast(asked)
+        return held.join(asked.drop("folder"), ["kind", "shard"]).select("kind", "payload", "asked").mapInArrow(_answer, _KNOWN)
+
+    def _take(self, nodes: DataFrame, n: int, hot: DataFrame | None, judged: bool, shared: bool, keep: Scratch) -> DataFrame:
+        """``nodes`` as a segment of their own; (row, text) of those accepted."""
+        at = self._new()
+        self._graphs(self._routes(nodes, hot, False), at, judged)
+        taken = nodes
+        if judged:
+            rejected = self._read(REJECTED, [at]).select("row")
+            # Only texts that stand with several fields and parted bases leave a row open in its shard.
+            if shared or hot is not None:
+                open_ = self._read(OPEN, [at]).select("row").distinct().join(nodes, "row").select("row", "text")
+                lone = nodes.where(F.col("shared") & F.col("name").isNull()).select("row", "text")
+                late = self._settle(open_.unionByName(lone), self._read(EDGE, [at]).select("row", F.col("other").alias("id")).distinct(), keep)
+                if late is not None:
+                    rejected = keep.stored(rejected.unionByName(late), "rejected")
+                    buried = self._routes(nodes.join(late, "row", "left_semi"), hot, False).groupBy("shard").agg(F.collect_list("row").alias("rows"))
+                    graphs = self._read(GRAPH, [at]).select("shard", "payload").join(buried, "shard", "left").select("shard", "payload", "rows").mapInArrow(_bury, _RECORD)
+                    at, old = self._new(), at
+                    self._write(graphs, at)
+                    self._fs.delete(self._at(f"segment={old}"), True)
+            taken = nodes.join(rejected.distinct(), "row", "left_anti")
+        counted = Observation()
+        accepted = stored(taken.select("row", "text").observe(counted, F.count(F.lit(1)).alias("n")), "accepted")
+        self._keys(accepted.where(F.col("text").isNotNull()).select("text").distinct(), at)
+        self._commit([*self.state["segments"], {"id": at, "rows": counted.get["n"], "hot": self._note_hot(hot, at)}])
         self._compact()
-        self._commit()
+        return accepted
 
-    def _compact(self) -> None:
-        """``fan`` segments of one level become one of the next, until no level has so many. The first segment stays."""
-        segments = self.state["segments"]
-        while True:
-            level = next((lv for lv in sorted({s["level"] for s in segments[1:]}) if sum(s["level"] == lv for s in segments[1:]) >= self.fan), None)
-            if level is None:
-                return
-            old = [s for s in segments[1:] if s["level"] == level]
-            n = self.state["next"]
-            at = f"{self.path}/segment-{n}"
-            self._read("texts", old).write.mode("overwrite").parquet(f"{at}/texts")
-            nodes = self._read("graphs", old).select(F.explode(F.arrays_zip("ids", "bases", "names")).alias("n")).select(F.col("n.ids").alias("row"), F.col("n.bases").alias("base"), F.col("n.names").alias("name"))
-            self._build(nodes).write.mode("overwrite").parquet(f"{at}/graphs")
-            segments[:] = [s for s in segments if s not in old] + [{"id": n, "level": level + 1}]
-            self.state["next"] = n + 1
+    @staticmethod
+    def _settle(open_: DataFrame, edges: DataFrame, keep: Scratch) -> DataFrame | None:
+        """(row) of the open rows that repeat one accepted before them: by their text, or by an edge to an earlier one.
+
+        Each round accepts the rows that are the first open ones of their text and have no edge to an earlier open row,
+        and rejects what repeats them; the first open row of all is always among them.
+        """
+        group = F.coalesce("text", F.encode(F.concat(F.lit("#"), F.col("row").cast("string")), "utf-8"))
+        open_, out = keep.stored(open_.select("row", group.alias("text")), "open"), []
+        while not open_.isEmpty():
+            sure = keep.stored(open_.groupBy("text").agg(F.min("row").alias("row")).join(edges.select("row").distinct(), "row", "left_anti"), "sure")
+            same = open_.join(sure.select("text", F.col("row").alias("first")), "text").where("row <> first").select("row")
+            out.append(keep.stored(same.unionByName(edges.join(sure.select(F.col("row").alias("id")), "id").select("row")).distinct(), "late"))
+            gone = sure.select("row").unionByName(out[-1])
+            open_ = keep.stored(open_.join(gone, "row", "left_anti"), "open")
+            edges = keep.stored(edges.join(gone, "row", "left_anti").join(gone.select(F.col("row").alias("id")), "id", "left_anti"), "edges")
+        return reduce(DataFrame.unionByName, out) if out else None
+
+    def _accept(self, nodes: DataFrame, keep: Scratch) -> None:
+        n, shared = self._sizes(nodes)
+        if n:
+            self._grow(n)
+            self._take(nodes, n, self._hot(nodes.where(F.col("name").isNotNull()), n), False, shared, keep)
+
+    def _accepted(self, nodes: DataFrame, keep: Scratch) -> DataFrame:
+        n, shared = self._sizes(nodes)
+        if not n:
+            return nodes.select("row", "text")
+        self._grow(n)
+        hot = self._hot(nodes.where(F.col("name").isNotNull()), n)
+        if self.state["segments"]:
+            known = keep.stored(self._known(nodes, hot, n), "known")
+            texts, near = known.select("text").where(F.col("text").isNotNull()).distinct(), known.select("row").where(F.col("row").isNotNull()).distinct()
+            nodes = nodes.join(texts, "text", "left_anti").join(near, "row", "left_anti")
+        return self._take(nodes, n, hot, True, shared, keep)
 
     def accept(self, rows: DataFrame) -> None:
         """Take ``rows`` (of ``keyed``) as accepted history without judging them."""
-        nodes = stored(self._nodes(rows), "nodes")
-        if not self.state["shards"]:
-            self.state["shards"] = max(1, -(-nodes.count() // self.rows_per_shard))
-        self._add(nodes)
+        with Scratch(self.spark, "accept") as keep:
+            self._accept(keep.stored(self._nodes(rows), "nodes"), keep)
 
     def judge(self, rows: DataFrame) -> DataFrame:
         """(source, row) of the rows that repeat an accepted row or an earlier new one; the others are accepted.
 
-        Rows repeat if their texts' keys are equal, or if their bases are equal and their names one edit apart. Rows are
-        taken in the order of ``row``. A null name is like no other; a null text is like none either.
+        Rows repeat if their texts are equal in comparison form, or if their bases are equal and their names one edit
+        apart. Rows are taken in the order of ``row``. A null name is like no other; a null text is like none either.
         """
-        if not self.state["shards"]:
-            self.accept(rows.limit(0))
-        nodes = self._nodes(rows)
-        fresh = stored(nodes.join(self._read("texts"), ["source", "text_key"], "left_anti"), "fresh")
-        near = self._search(fresh, self._read("graphs")).select("row").distinct()
-        open_ = stored(fresh.join(near, "row", "left_anti"), "open")
-        own = stored(self._build(open_), "own")
-        edges = stored(self._search(open_, own).where(F.col("id") < F.col("row")).distinct(), "edges")
-        rejected: list[DataFrame] = []
-        while not edges.isEmpty():
-            # A row with no earlier one left that is like it is accepted, so all that are like it are repeats.
-            sure = edges.select("id").distinct().join(edges.select(F.col("row").alias("id")), "id", "left_anti")
-            out = stored(edges.join(sure, "id").select("row").distinct(), "rejected")
-            rejected.append(out)
-            edges = stored(edges.join(out, "row", "left_anti").join(out.select(F.col("row").alias("id")), "id", "left_anti"), "edges")
-        if rejected:
-            open_ = stored(open_.join(reduce(DataFrame.unionByName, rejected), "row", "left_anti"), "accepted")
-        self._add(open_)
-        return rows.select("source", "row").join(open_.select("row"), "row", "left_anti").select("source", "row")
+        with Scratch(self.spark, "batch") as keep:
+            held = keep.stored(rows.select("source", "row", "text", "base", "name"), "rows")
+            accepted = self._accepted(keep.stored(self._nodes(held), "nodes"), keep).select("row")
+            return stored(held.select("source", "row").join(accepted, "row", "left_anti").select("source", "row"), "repeats")
 
 
 def repeated_rows(rows: DataFrame, batch: str = "batch_no", index: HistoryIndex | None = None) -> DataFrame:
     """(source, row) of the rows of batches 1 and later that repeat an accepted row; batch 0 is accepted history.
 
-    rows: the columns of ``keyed`` and ``batch``. Batches come in their order, rows within them in the order of ``row``.
+    rows: the columns of ``keyed`` and ``batch``. Batches come in their order, rows within them in the order of ``row``;
+    rows without a batch are history too.
     """
     index = index or HistoryIndex(rows.sparkSession)
-    held = stored(rows, "rows")
-    index.accept(held.where(F.col(batch) <= 0))
-    later = sorted(r[0] for r in held.where(F.col(batch) > 0).select(batch).distinct().collect())
-    found = [stored(index.judge(held.where(F.col(batch) == b)), "repeats") for b in later]
-    return reduce(DataFrame.unionByName, found) if found else held.select("source", "row").limit(0)
+    rows = rows.withColumn("__batch", F.greatest(F.coalesce(F.col(f"`{batch}`").cast("long"), F.lit(0)), F.lit(0)))
+    accepted = []
+    # Every row is keyed once, and the copies within a batch are counted as one.
+    nodes = stored(index._nodes(rows, ("__batch",)), "nodes", by="__batch")
+    for b in sorted(r[0] for r in nodes.select("__batch").distinct().collect()):
+        with Scratch(rows.sparkSession, "batch") as keep:
+            part = nodes.where(F.col("__batch") == b).drop("__batch")
+            if b:
+                accepted.append(index._accepted(part, keep).select("row"))
+            else:
+                index._accept(part, keep)
+    asked = rows.where(F.col("__batch") > 0).select("source", "row")
+    return asked.join(reduce(DataFrame.unionByName, accepted), "row", "left_anti").select("source", "row") if accepted else asked

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import defaultdict
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.llm import codes, leaks, markup
 from quern.llm.canonical import COMPAT, INVISIBLE, LOOKALIKE, MARK, SPACE, canonical, with_canonical
 from quern.llm.graph import Graph, one_edit
-from quern.llm.history import HistoryIndex, keyed, repeated_rows
+from quern.llm.history import HistoryIndex, keyed, repeated_rows, subkeys
 from quern.llm.leaks import leaked_items
 from quern.llm.markup import BoostedTrees, clean, examples, formula, labelled, model, with_clean_text
 from quern.llm.mixture import mixture, mixture_report
@@ -95,11 +96,12 @@ FIXED = "0a一"
 def plain_repeats(rows):
     texts, bases, out = set(), defaultdict(list), set()
     for source, row, batch, text, base, name in sorted(rows, key=lambda r: (r[2], r[1])):
-        key, b, n = codes.comparison_form(text), (source, base), codes.comparison_form(name) if name is not None else None
+        key, b, n = codes.comparison_form(text) if text is not None else None, (source, base), codes.comparison_form(name) if name is not None else None
         if batch > 0 and ((source, key) in texts or (n is not None and any(one_edit(n, x) for x in bases[b]))):
             out.add(row)
         else:
-            texts.add((source, key))
+            if key is not None:
+                texts.add((source, key))
             if n is not None:
                 bases[b].append(n)
     return out
@@ -110,43 +112,91 @@ def test_one_edit():
     assert not any(one_edit(a, b) for a, b in (("甲一", "甲二"), ("甲1", "甲"), ("甲a", "甲b"), ("甲乙", "丙丁"), ("甲一", "甲丙"), ("甲", "甲乙丙")))
 
 
-def test_graph_meets_what_exhaustive_search_meets():
+def test_walks_of_a_large_base_meet_what_exhaustive_search_meets():
     rng = random.Random(1)
     heads, tails = ["".join(rng.choices("甲乙丙丁戊己庚辛壬癸子丑", k=4)) for _ in range(60)], ["".join(rng.choices("天地玄黃宇宙洪荒日月", k=4)) for _ in range(40)]
     names = sorted({a + b for a in heads for b in tails})
-    graph = Graph(["x"] * len(names), names)
+    graph = Graph([b"x"] * len(names), names, list(range(len(names))))
     asked = [n[:2] + "金" + n[3:] for n in names[::3]] + names[::5]
-    exact = lambda beam: {(q, n) for q, n in zip(*(x.tolist() for x in graph.search(["x"] * len(asked), asked, beam)), strict=True) if one_edit(asked[q], names[n])}
-    found, all_ = exact(None), exact(1 << 30)
-    assert found <= all_ and len(found) >= 0.99 * len(all_)
-    again = Graph(["x"] * len(names), names, graph.links, graph.beam)
-    assert all((a == b).all() for a, b in zip(graph.search(["x"], names[:1]), again.search(["x"], names[:1]), strict=True))
-
-
-def test_batches_against_a_plain_loop(spark):
-    rng = random.Random(8)
+    exact = lambda pairs: {(q, n) for q, n in pairs if one_edit(asked[q], graph.names[n])}
+    found, want = exact(zip(*(x.tolist() for x in graph.search([b"x"] * len(asked), asked)), strict=True)), exact(graph.exhaustive([b"x"] * len(asked), asked))
+    assert found <= want and len(found) >= 0.999 * len(want)
+    again = Graph.unpack(graph.pack())
+    assert again.beam == graph.beam and again.living() == graph.living()
+    assert all((a == b).all() for a, b in zip(graph.search([b"x"], names[:1]), again.search([b"x"], names[:1]), strict=True))
+
+
+def test_siblings_that_differ_in_a_numeral_do_not_fill_a_beam():
+    # Of 3,000 siblings each has one true neighbour: the numerals keep them apart, so a small beam is enough.
+    numerals = ["".join(p) for n in (2, 3, 4) for p in itertools.product("一二三四五六七八九十", repeat=n)][:3000]
+    names = [f"專題研究{n}組" for n in numerals]
+    graph = Graph([b"x"] * len(names), names, list(range(len(names))))
+    asked = [n.replace("組", "班") for n in names]
+    met = {(q, n) for q, n in zip(*(x.tolist() for x in graph.search([b"x"] * len(asked), asked)), strict=True) if one_edit(asked[q], graph.names[n])}
+    assert len(met) >= 0.999 * len(names)
+
+
+def test_dead_nodes_are_not_found():
+    graph = Graph([b"x"] * 3, ["甲乙", "甲丙", "丁"], [5, 6, 7])
+    graph.dead[:] = graph.rows == 5
+    assert {int(graph.rows[n]) for n in graph.search([b"x"], ["甲乙"])[1]} == {6}
+    assert {r for _, _, r in graph.living()} == {6, 7}
+
+
+def test_one_edit_keeps_a_subkey():
+    rng = random.Random(5)
+    for _ in range(2000):
+        a = "".join(rng.choices("甲乙丙一2", k=rng.randrange(0, 7)))
+        i = rng.randrange(len(a) + 1)
+        b = rng.choice([a[:i] + "丁" + a[i:], a[:i] + a[i + 1 :], a[:i] + "丁" + a[i + 1 :]])
+        if one_edit(a, b):
+            assert set(subkeys(b"k", a)) & set(subkeys(b"k", b)), (a, b)
+
+
+def plain_rows(seed, count, repeated_texts):
+    rng = random.Random(seed)
     names = ["".join(rng.choices("甲乙丙丁一2", k=rng.randrange(1, 6))) for _ in range(40)] + ["Ａ甲乙", "A甲乙"]
     rows = []
-    for i in range(400):
+    for i in range(count):
         base, name = rng.choice(["p", "q", None]), rng.choice([*names, None])
-        rows.append((rng.choice("st"), i, min(3, i // 120), f"{base}，{name or ''} {rng.randrange(2)}", base, name))
+        # Some texts stand with different fields.
+        text = f"同文{rng.randrange(30)}" if rng.random() < repeated_texts else f"{base}，{name or ''} {rng.randrange(2)}"
+        rows.append((rng.choice("st"), i, min(3, i // (count // 4)), rng.choice([text, text, text, None]), base, name))
+    return rows
+
+
+@pytest.mark.parametrize(("part", "repeated_texts"), [(16_384, 0.0), (16_384, 0.4), (5, 0.0), (5, 0.4)])
+def test_batches_against_a_plain_loop(spark, part, repeated_texts):
+    rows = plain_rows(8, 400, repeated_texts)
     df = spark.createDataFrame(rows, "source string, rec_no long, batch_no int, text string, base string, name string").repartition(3)
     k = keyed(df, F.col("source"), "rec_no", "text", ["base"], "name", ("batch_no",))
-    assert {r.row for r in repeated_rows(k).collect()} == plain_repeats(rows)
+    index = HistoryIndex(spark, rows_per_shard=16, fan=2, part=part)
+    assert {r.row for r in repeated_rows(k, index=index).collect()} == plain_repeats(rows)
+    assert index.state["depth"] > 2
 
 
 def test_index_is_kept_between_sessions_and_compacts(spark, tmp_path):
     path = str(tmp_path / "index")
     make = lambda ids: keyed(spark.createDataFrame([("s", i, f"t{i}", "b", f"名{i}") for i in ids], "source string, id long, text string, base string, name string"), F.col("source"), "id", "text", ["base"], "name")
-    HistoryIndex(spark, path).accept(make(range(10)))
-    for n in range(1, 5):
-        index = HistoryIndex(spark, path)
+    HistoryIndex(spark, path, rows_per_shard=8, fan=3).accept(make(range(10)))
+    for n in range(1, 6):
+        index = HistoryIndex(spark, path, rows_per_shard=8, fan=3)
         again = index.judge(make([*range(10), *range(10 * n, 10 * n + 5)]))
         assert {r.row for r in again.collect()} == set(range(10))
-    assert len(index.state["segments"]) == 2
+    assert len(index.state["segments"]) < 4 and index.state["depth"] >= 1
+    # Segments that were merged are gone.
+    assert {p.name for p in (tmp_path / "index").glob("segment=*")} == {f"segment={s['id']}" for s in index.state["segments"]}
     assert HistoryIndex(spark, path).judge(make([])).count() == 0
 
 
+def test_an_index_begun_by_a_batch_grows(spark):
+    make = lambda ids: keyed(spark.createDataFrame([(i, f"t{i}", f"b{i % 7}", f"名{i}") for i in ids], "id long, text string, base string, name string"), F.lit("s"), "id", "text", ["base"], "name")
+    index = HistoryIndex(spark, rows_per_shard=8)
+    assert index.judge(make(range(4))).count() == 0 and index.state["depth"] == 0
+    assert index.judge(make(range(4, 200))).count() == 0 and index.state["depth"] >= 3
+    assert index.judge(make(range(100, 300))).count() == 100
+
+
 # ---- vectors
 
 
