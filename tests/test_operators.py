@@ -10,7 +10,7 @@ from quern.operators.bm25 import FullTextIndex, similarity
 from quern.operators.dedup import best_of_group, keep_first, unseen, upsert, upsert_table
 from quern.operators.members import first_link, member_records
 from quern.operators.timestamps import parse_instant, same_instant_pairs, with_instant
-from quern.operators.timetable import blocks, course_name, courses_of, crawl_records, lines, notes_of, timetable
+from quern.operators.timetable import blocks, course_name, courses_of, crawl_records, credit_tokens, lines, notes_of, sub_category, timetable
 from quern.operators.units import changepoints, off_reference, quantities, remark_unit, with_common_units
 from quern.operators.vectors import vector_top_k
 
@@ -197,15 +197,21 @@ def test_timetable_reads_columns_blocks_and_notes(spark):
     assert len({r.doc_id for r in texts.values()}) == 1 and crawl_records(courses, notes, "list", "必修", "x", records).count() == 0
 
 
-def test_timetable_parts():
-    ws = [dict(zip(("text", "x0", "x1", "top", "bottom"), w)) for w in (word("b", 20, 1), word("a", 0, 0), word("c", 0, 40), word("d", 0, 52), word("e", 0, 64))]
-    got = lines(ws)
-    assert [sorted(w["text"] for w in x.words) for x in got] == [["a", "b"], ["c"], ["d"], ["e"]] and got[0].y == 0.5
-    assert blocks(got) == [["a b"], ["c", "d", "e"]]
-    assert course_name("基礎 共同 語文 英文二 能力") == "英文二"
-    assert [c["credit"] for c in courses_of(["微積分(3)物理（2）", "化學 4學分"], "一上")] == [3, 2, 4]
-    assert notes_of("備註 1.先修微積分 2.無關 3.限修一次。") == ["1.先修微積分。", "3.限修一次。"]
-    assert notes_of("無關") == []
+def test_timetable_parts(spark):
+    schema = "array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>"
+    df = spark.createDataFrame([([word("b", 20, 1), word("a", 0, 0), word("c", 0, 40), word("d", 0, 52), word("e", 0, 64)],), ([],), (None,)], f"words {schema}")
+    got = df.select(lines(F.col("words")).alias("l")).select("l", blocks(F.col("l")).alias("b")).collect()
+    assert [(x.y, x.text) for x in got[0].l] == [(0.5, "a b"), (40.0, "c"), (52.0, "d"), (64.0, "e")] and got[0].b == [["a b"], ["c", "d", "e"]]
+    assert got[1].b == [] and got[2].b in ([], None)
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    texts = lambda *xs: F.array(*map(F.lit, xs))
+    for raw, name in (("基礎 共同 語文 英文二 能力", "英文二"), ("系訂專業必修 微積分", "微積分"), ("必修 體育 一", "體育"), ("體育 大一 體育", "體育"), ("體育一", "體育一"), ("勞作教育 Ａ班", "勞作教育 A班"), ("勞作教育 x", "勞作教育 班"), ("公民 社會設計 素養", "社會設計"), ("系訂邏輯", "邏輯"), ("學分", "")):
+        assert one(course_name(F.lit(raw))) == name, raw
+    assert [c.credit for c in one(courses_of(texts("微積分(3)物理（2）", "化學 4學分"), F.lit("一上")))] == [3, 2, 4]
+    assert [(c.raw, c.credit) for c in one(credit_tokens(texts("甲 乙(3)", "丙", "丁 （12） 戊")))] == [("甲 乙", 3), ("丙 丁", 12)]
+    assert one(notes_of(F.lit("備註 1.先修微積分 2.無關 3.限修一次。"))) == ["1.先修微積分。", "3.限修一次。"]
+    assert one(notes_of(F.lit("先修甲；無關。限修乙；先修甲 備註 無"))) == ["先修甲。", "限修乙。"] and one(notes_of(F.lit("先修甲"))) == ["先修甲。"] and one(notes_of(F.lit("無關"))) == []
+    assert [one(sub_category(F.lit(x))) for x in ("勞作教育", "體育一", "日文", "語文與表達能力", "物理")] == ["公民素養", "體育", "語文能力", "語文能力", ""]
 
 
 def test_member_cards(spark):
