@@ -88,23 +88,79 @@ def quantities(text: str | None, kind: str, unit: str | None = None) -> tuple[tu
     return tuple(reversed(out))
 
 
-def changepoints(x: np.ndarray, penalty: float) -> list[int]:
-    """Starts of the segments that minimise squared deviation from segment means plus ``penalty`` a segment; exact (pruned)."""
-    n = len(x)
-    s1, s2 = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-    best, origin = np.zeros(n + 1), np.zeros(n + 1, np.int64)
-    best[0] = -penalty
-    open_ = np.array([0])
-    for t in range(1, n + 1):
-        cost = best[open_] + (s2[t] - s2[open_]) - (s1[t] - s1[open_]) ** 2 / (t - open_)
-        i = int(np.argmin(cost))
-        best[t], origin[t] = cost[i] + penalty, open_[i]
-        open_ = np.append(open_[cost <= best[t]], t)
-    starts, t = [], n
-    while t:
-        t = int(origin[t])
-        starts.append(t)
-    return starts[::-1]
+#: States of a value: at its source's usual level, at none that is known, and then one for each known factor.
+USUAL, OTHER = 0, 1
+#: What a value at no known level costs, in squared deviations; with the spread of a level it says how near is near.
+OTHER_COST = 16.0
+
+
+class Levels:
+    """Exact penalised changepoint search where the levels are the usual one, its known multiples, and none of them.
+
+    It minimises the squared deviations of the log values from their segments' levels, in spreads of the level, plus
+    ``penalty`` a changepoint. Costs of pieces of a history are matrices that combine in any order, so a history of any
+    length is searched in pieces and the result is that of the whole.
+    """
+
+    def __init__(self, kind: str, spread: float, usual_spread: float, penalty: float):
+        self.log = np.log(sorted(FACTORS[kind]))
+        self.level = np.concatenate([[0.0, 0.0], self.log])
+        self.scale = np.concatenate([[usual_spread, np.inf], np.full(len(self.log), spread)])
+        self.penalty, self.states = penalty, len(self.level)
+
+    def _runs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and costs by state of the runs of equal values; no changepoint need lie within one."""
+        start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        cost = ((x[start, None] - self.level[None]) / self.scale[None]) ** 2
+        cost[:, OTHER] = OTHER_COST
+        return start, cost * np.diff(np.append(start, len(x)))[:, None]
+
+    def piece(self, x: np.ndarray) -> np.ndarray:
+        """[i, j]: the least cost of ``x`` where the value before it was in state i and its last one is in state j."""
+        m = np.where(np.eye(self.states, dtype=bool), 0.0, self.penalty)
+        _, costs = self._runs(x)
+        for n, c in enumerate(costs):
+            m = (np.minimum(m, m.min(1, keepdims=True) + self.penalty) if n else m) + c[None]
+        return m
+
+    def states_of(self, x: np.ndarray, before: int, last: int) -> np.ndarray:
+        """The states of ``x`` on the best way from state ``before`` to state ``last``; before -1: free."""
+        start, costs = self._runs(x)
+        m = np.zeros(self.states) if before < 0 else np.where(np.arange(self.states) == before, 0.0, self.penalty)
+        back = np.empty(costs.shape, np.int64)
+        for n, c in enumerate(costs):
+            best = int(m.argmin())
+            moved = (m[best] + self.penalty < m) if n else np.zeros(self.states, bool)
+            back[n] = np.where(moved, best, np.arange(self.states))
+            m = np.where(moved, m[best] + self.penalty, m) + c
+        out, state = np.empty(len(x), np.int64), last
+        for n in range(len(start) - 1, -1, -1):
+            out[start[n] : start[n + 1] if n + 1 < len(start) else len(x)] = state
+            state = int(back[n][state])
+        return out
+
+    def factor(self, state: np.ndarray) -> np.ndarray:
+        return np.exp(np.concatenate([[0.0, 0.0], self.log]))[state]
+
+
+def _chained(groups: Iterator[tuple[tuple, list[tuple[int, np.ndarray]]]]) -> Iterator[tuple[tuple, list[tuple[int, int, int]]]]:
+    """Per history the states before and at the end of each of its pieces (number, matrix) on the best way through all."""
+    for key, pieces in groups:
+        f, back = None, []
+        for _, m in pieces:
+            # The first value of a history comes from nowhere, so no state costs it a changepoint.
+            way = np.where(np.eye(len(m), dtype=bool), m, np.inf) if f is None else f[:, None] + m
+            if f is None:
+                way = np.broadcast_to(m.min(0), m.shape)
+                back.append(np.full(len(m), -1))
+            else:
+                back.append(way.argmin(0))
+            f = way.min(0)
+        last, out = int(f.argmin()), []
+        for (n, _), b in zip(reversed(pieces), reversed(back), strict=True):
+            out.append((n, int(b[last]), last))
+            last = int(b[last])
+        yield key, out
 
 
 _PARSED = T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("stated", T.BooleanType())]))
@@ -118,17 +174,20 @@ def _parser(fields: dict[str, str]):
     return parse
 
 
-def with_common_units(df: DataFrame, fields: dict[str, str], row: str, source: str, remark: str | None = None, sigma: float = 0.05, chunk: int = 1024, tolerance: float = 0.02) -> DataFrame:
-    """One record a row and field: (row, source, field_name, raw, alternatives, value, factor, common_value).
+def with_common_units(df: DataFrame, fields: dict[str, str], row: str, source: str, remark: str | None = None, spread: float = 0.005, usual_spread: float = 0.0004, piece: int = 4096) -> DataFrame:
+    """One record a row and field: (row, source, field_name, raw, alternatives, value, factor, common_value, usual_value, shifted).
 
     fields: column -> 'memory' (MB) or 'frequency' (MHz). alternatives are the values as stated, in the common unit, with
-    whether the unit is stated; value is the one nearest to the source's usual level, null where the field gives no
-    quantity. factor is what the recorded unit was wrong by (1 where it was right), common_value = value / factor.
-
-    The usual level of a source is its commonest value; it is counted over all rows. Histories are segmented in chunks
-    of at most ``chunk`` rows in the order of ``row``, so a source of very many rows is spread over tasks; chunk borders
-    cannot change a result, since a segment is judged by the usual level alone. A null source is a source of its own.
-    Repeated rows are kept. Columns beside those named are not read.
+    whether the unit is stated; value is the one nearest to the source's usual level (of those with a stated unit, where
+    there are any), null where the field gives no quantity. factor is what the recorded unit was wrong by (1 where it was
+    right), common_value = value / factor. usual_value is the source's commonest value, counted over all rows; shifted
+    tells the values of segments at another level than that.
+
+    A source's history, in the order of ``row``, is segmented as a whole (``Levels``): it is read in pieces of at most
+    ``piece`` values, whose costs are chained exactly, so neither pieces nor partitions change a result, and a source of
+    very many rows is spread over tasks. spread and usual_spread: how far values scatter, in logarithms, about a level
+    that a wrong unit makes and about the usual one. A null source is a source of its own. Repeated rows are kept.
+    Columns beside those named are not read.
     """
     texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("raw")) for f in fields))).alias("f")
     rows = df.select(F.col(f"`{row}`").alias("row"), F.col(f"`{source}`").alias("source"), (F.col(f"`{remark}`") if remark else F.lit(None).cast("string")).alias("remark"), texts)
@@ -136,59 +195,92 @@ def with_common_units(df: DataFrame, fields: dict[str, str], row: str, source: s
     parsed = stored(rows.select("row", "source", F.col("f.field_name").alias("field_name"), F.col("f.raw").alias("raw"), _parser(fields)("f.field_name", "f.raw", "remark").alias("alternatives")), "quantities")
     one = F.when(F.size("alternatives") == 1, F.element_at("alternatives", 1)["value"])
     levels = (
-        parsed.select("source", "field_name", F.round(F.log(one), 2).alias("level")).where(F.col("level").isNotNull())
-        .groupBy("source", "field_name", "level").count()
-        .groupBy("source", "field_name").agg(F.max_by("level", F.struct("count", "level")).alias("usual"))
-        .select(F.col("source").alias("s"), F.col("field_name").alias("f"), "usual")
+        parsed.where(F.size("alternatives") > 0).groupBy("source", "field_name", F.round(F.log(one), 5).alias("level")).count()
+        .groupBy("source", "field_name").agg(F.max_by("level", F.when(F.col("level").isNotNull(), F.struct("count", "level"))).alias("usual"), F.sum("count").alias("length"))
+        .select(F.col("source").alias("s"), F.col("field_name").alias("f"), "usual", "length")
     )
     near = parsed.join(levels, parsed["source"].eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")), "left").drop("s", "f")
+    stated = F.filter("alternatives", lambda x: x["stated"])
+    usable = F.when(F.size(stated) > 0, stated).otherwise(F.col("alternatives"))
+    near = near.withColumn("usable", usable)
     far = lambda x: F.abs(F.log(x["value"]) - F.coalesce("usual", F.log(x["value"])))
-    value = F.reduce(F.slice("alternatives", 2, 1 << 20), F.get("alternatives", F.lit(0)), lambda a, x: F.when(far(x) < far(a), x).otherwise(a))["value"]
-    series = near.withColumn("value", value).repartitionByRange("source", "field_name", "row").sortWithinPartitions("source", "field_name", "row")
-    logs = {f: np.log(sorted(FACTORS[kind])) for f, kind in fields.items()}
+    value = F.reduce(F.slice("usable", 2, 1 << 20), F.get("usable", F.lit(0)), lambda a, x: F.when(far(x) < far(a), x).otherwise(a))["value"]
+    near = near.withColumn("value", value).drop("usable")
+    history = near.where(F.col("value").isNotNull() & F.col("usual").isNotNull()).select("source", "field_name", "row", "length", F.round(F.log("value") - F.col("usual"), 5).alias("x"))
+    search = lambda field, length: Levels(fields[field], spread, usual_spread, 2 * math.log(max(length, 2)))
+    kept = T.StructType([T.StructField("source", near.schema["source"].dataType), T.StructField("field_name", T.StringType()), T.StructField("length", T.LongType()), T.StructField("rows", T.ArrayType(near.schema["row"].dataType)), T.StructField("x", T.BinaryType()), T.StructField("costs", T.BinaryType())])
 
-    def segment(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            group = (frame["source"].isna().astype(str) + frame["source"].astype(str) + "\0" + frame["field_name"]).to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+            out = []
+            for b, e in zip(begins, [*begins[1:], len(group)], strict=True):
+                for s in range(b, e, piece):
+                    part = frame.iloc[s : min(e, s + piece)]
+                    x, head = part["x"].to_numpy(float), part.iloc[0]
+                    out.append((head["source"], head["field_name"], head["length"], part["row"].tolist(), x.tobytes(), search(head["field_name"], head["length"]).piece(x).tobytes()))
+            yield pd.DataFrame(out, columns=kept.names)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = history.repartitionByRange(tasks, "source", "field_name", "row").sortWithinPartitions("source", "field_name", "row")
+    # Partitions hold ranges in order, so the numbers of the pieces are in order too.
+    pieces = stored(ordered.mapInPandas(cut, kept).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def histories() -> Iterator[tuple[tuple, list]]:
+            key, held = None, []
+            for frame in frames:
+                for s, f, n, c in frame[["source", "field_name", "piece", "costs"]].itertuples(index=False):
+                    if (s, f) != key and held:
+                        yield key, held
+                        held = []
+                    key = (s, f)
+                    m = np.frombuffer(c, float)
+                    held.append((n, m.reshape(math.isqrt(len(m)), -1)))
+            if held:
+                yield key, held
+
+        # Batches of a bounded number of rows, however many histories they come from.
+        held: list[tuple[int, int, int]] = []
+        for _, states in _chained(histories()):
+            held += states
+            if len(held) > 10_000:
+                yield pd.DataFrame(held, columns=["piece", "before", "last"])
+                held = []
+        yield pd.DataFrame(held, columns=["piece", "before", "last"])
+
+    # Only a matrix a piece meets in one task, not the values.
+    ends = pieces.select("source", "field_name", "piece", "costs").repartition("source", "field_name").sortWithinPartitions("source", "field_name", "piece").mapInPandas(chain, "piece long, before int, last int")
+    found = T.StructType([T.StructField("row", near.schema["row"].dataType), T.StructField("field_name", T.StringType()), T.StructField("factor", T.DoubleType())])
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame.reset_index(drop=True)
-            factor = np.ones(len(frame))
-            usual = frame["usual"].to_numpy(float)
-            group = (frame["source"].fillna("\0") + "\0" + frame["field_name"]).to_numpy()
-            held = np.flatnonzero(frame["value"].notna())
-            if len(held):
-                cut = np.flatnonzero(np.concatenate([[True], group[held[1:]] != group[held[:-1]]]))
-                for a, b in zip(cut, np.append(cut[1:], len(held)), strict=True):
-                    for c in range(a, b, chunk):
-                        at = held[c : min(b, c + chunk)]
-                        x = np.log(frame["value"].to_numpy(float)[at])
-                        known, level = logs[frame["field_name"][at[0]]], usual[at[0]]
-                        if not np.isfinite(level):
-                            continue
-                        starts = changepoints(x - level, 2 * sigma**2 * math.log(max(len(x), 2)))
-                        for s, e in zip(starts, [*starts[1:], len(x)], strict=True):
-                            shift = float(np.median(x[s:e])) - level
-                            j = int(np.argmin(np.abs(known - shift)))
-                            if abs(known[j] - shift) <= tolerance:
-                                factor[at[s:e]] = math.exp(known[j])
-            frame["factor"] = np.where(frame["value"].notna(), factor, np.nan)
-            yield frame[["row", "field_name", "factor"]]
-
-    # Only the numbers visit Python; factors other than 1 are few, so the way back is a small join.
-    kinds = T.StructType([near.schema["row"], T.StructField("field_name", T.StringType()), T.StructField("factor", T.DoubleType())])
-    factors = series.select("row", "source", "field_name", "value", "usual").mapInPandas(segment, kinds).where(F.abs(F.col("factor") - 1) > 1e-9).groupBy("row", "field_name").agg(F.first("factor").alias("factor"))
-    done = near.withColumn("value", value).join(factors, ["row", "field_name"], "left")
+            out: list[tuple] = []
+            for r in frame.itertuples(index=False):
+                levels_of = search(r.field_name, r.length)
+                state = levels_of.states_of(np.frombuffer(r.x, float), r.before, r.last)
+                at = np.flatnonzero(state != USUAL).tolist()
+                out += zip([r.rows[i] for i in at], [r.field_name] * len(at), levels_of.factor(state[at]).tolist(), strict=True)
+            yield pd.DataFrame(out, columns=found.names)
+
+    # Values off the usual level are few, so the way back is a small join; repeated rows are one of it.
+    shifts = pieces.join(ends, "piece").repartition(tasks, "piece").select("field_name", "length", "rows", "x", "before", "last").mapInPandas(settle, found).groupBy("row", "field_name").agg(F.first("factor").alias("factor"), F.lit(True).alias("shifted"))
+    done = near.join(shifts, ["row", "field_name"], "left")
     right = F.when(F.col("value").isNotNull(), F.coalesce("factor", F.lit(1.0)))
-    return done.select(F.col("row").alias(row), F.col("source").alias(source), "field_name", "raw", "alternatives", "value", right.alias("factor"), (F.col("value") / right).alias("common_value"))
+    return done.select(F.col("row").alias(row), F.col("source").alias(source), "field_name", "raw", "alternatives", "value", right.alias("factor"), (F.col("value") / right).alias("common_value"), F.exp("usual").alias("usual_value"), F.coalesce("shifted", F.lit(False)).alias("shifted"))
 
 
 def off_reference(common: DataFrame, reference: DataFrame, source: str, columns: dict[str, str], tolerance: float = 0.005) -> DataFrame:
     """The records of ``with_common_units`` of which every stated alternative is more than ``tolerance`` off the reference.
 
-    They are the records whose unit the segmentation reversed and those still off in their common value, held once more
-    against the text. columns: field -> column of ``reference`` with its value in the common unit. Fields without a
-    stated quantity, and sources that the reference lacks or leaves null, are no cases.
+    The segmentation gives the candidates: values of segments that are not at their source's usual level, and all values
+    of the few sources whose usual level is not the accepted value itself. They are then compared with the reference.
+    columns: field -> column of ``reference`` with its value in the common unit. Fields without a stated quantity, and
+    sources that the reference lacks or leaves null, are no cases.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(c).cast("double").alias("accepted")) for f, c in columns.items()))).alias("r")
     accepted = reference.select(F.col(source), pairs).select(source, "r.*").where(F.col("accepted") > 0)
     stated = F.filter("alternatives", lambda x: x["stated"])
-    off = (F.col("factor") != 1) | (F.abs(F.col("common_value") / F.col("accepted") - 1) > tolerance)
-    return common.join(accepted, [source, "field_name"]).where(off & (F.size(stated) > 0) & F.forall(stated, lambda x: F.abs(x["value"] / F.col("accepted") - 1) > tolerance))
+    candidate = F.col("shifted") | F.coalesce(F.abs(F.col("usual_value") / F.col("accepted") - 1) > tolerance / 5, F.lit(True))
+    return common.join(accepted, [source, "field_name"]).where(candidate & (F.size(stated) > 0) & F.forall(stated, lambda x: F.abs(x["value"] / F.col("accepted") - 1) > tolerance))

@@ -1,4 +1,6 @@
 import datetime as dt
+import itertools
+import math
 import random
 
 import numpy as np
@@ -11,8 +13,9 @@ from quern.operators.dedup import best_of_group, keep_first, unseen, upsert, ups
 from quern.operators.members import first_link, member_records
 from quern.operators.timestamps import parse_instant, same_instant_pairs, with_instant
 from quern.operators.timetable import blocks, course_name, courses_of, crawl_records, credit_tokens, lines, notes_of, sub_category, timetable
-from quern.operators.units import changepoints, off_reference, quantities, remark_unit, with_common_units
+from quern.operators.units import OTHER_COST, Levels, off_reference, quantities, remark_unit, with_common_units
 from quern.operators.vectors import vector_top_k
+from quern.session import stored
 
 
 # ---- chunks
@@ -210,7 +213,7 @@ def test_timetable_parts(spark):
     assert [c.credit for c in one(courses_of(texts("微積分(3)物理（2）", "化學 4學分"), F.lit("一上")))] == [3, 2, 4]
     assert [(c.raw, c.credit) for c in one(credit_tokens(texts("甲 乙(3)", "丙", "丁 （12） 戊")))] == [("甲 乙", 3), ("丙 丁", 12)]
     assert one(notes_of(F.lit("備註 1.先修微積分 2.無關 3.限修一次。"))) == ["1.先修微積分。", "3.限修一次。"]
-    assert one(notes_of(F.lit("先修甲；無關。限修乙；先修甲 備註 無"))) == ["先修甲。", "限修乙。"] and one(notes_of(F.lit("先修甲"))) == ["先修甲。"] and one(notes_of(F.lit("無關"))) == []
+    assert one(notes_of(F.lit("先修甲；無關。限修乙；先修甲 備註 無"))) == ["先修甲。", "限修乙。", "先修甲 備註 無。"] and one(notes_of(F.lit("先修甲"))) == ["先修甲。"] and one(notes_of(F.lit("無關"))) == []
     assert [one(sub_category(F.lit(x))) for x in ("勞作教育", "體育一", "日文", "語文與表達能力", "物理")] == ["公民素養", "體育", "語文能力", "語文能力", ""]
 
 
@@ -293,15 +296,35 @@ def test_remark_units():
 
 def test_changepoints_are_exact():
     rng = np.random.RandomState(2)
-    for _ in range(20):
-        x = np.repeat(rng.choice([0.0, 3.0, 6.9], 4), rng.randint(1, 6, 4)) + rng.randn(1) * 0
-        x = x + rng.randn(len(x)) * 0.1
-        best = [-0.5]
-        for t in range(1, len(x) + 1):
-            best.append(min(best[s] + ((x[s:t] - x[s:t].mean()) ** 2).sum() + 0.5 for s in range(t)))
-        starts = changepoints(x, 0.5)
-        cost = sum(((x[a:b] - x[a:b].mean()) ** 2).sum() + 0.5 for a, b in zip(starts, [*starts[1:], len(x)], strict=True)) - 0.5
-        assert cost == pytest.approx(best[-1])
+    for n in (1, 2, 4, 5):
+        levels = Levels("frequency", 0.01, 0.005, 9.0)
+        x = rng.choice([0.0, math.log(1000), -math.log(1e6), 1.1], n) + rng.randn(n) * 0.02
+        cost = ((x[:, None] - levels.level) / levels.scale) ** 2
+        cost[:, 1] = OTHER_COST
+        price = lambda way, cost=cost: sum(cost[t, k] for t, k in enumerate(way)) + 9.0 * sum(a != b for a, b in zip(way, way[1:]))
+        best = min(price(way) for way in itertools.product(range(levels.states), repeat=n))
+        assert levels.piece(x).min() == pytest.approx(best)
+        assert price(levels.states_of(x, -1, int(levels.piece(x).min(0).argmin()))) == pytest.approx(best)
+
+
+def test_pieces_of_a_history_do_not_change_its_segments(spark):
+    rng = np.random.RandomState(4)
+    rows = [(i, s, f"{v * 2000 * math.exp(e):.4f} MHz") for s in ("a", "b", None) for i, (v, e) in enumerate(zip(np.repeat(rng.choice([1.0, 1.0, 1e-3, 1e3, 1.9], 40), rng.randint(1, 9, 40)), rng.randn(400) * 0.002, strict=False))]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id long, product string, clock string")
+    results = [{r.id: (r.factor, r.shifted) for r in with_common_units(df.repartition(k), {"clock": "frequency"}, "id", "product", piece=n).collect()} for n, k in ((1 << 20, 1), (7, 3), (64, 5))]
+    assert results[0] == results[1] == results[2] and {round(math.log10(f)) for f, _ in results[0].values()} >= {0, -3, 3}
+
+
+def test_candidates_come_from_the_segments(spark, monkeypatch):
+    rows = [(i, "p", "2.0 GHz") for i in range(20)] + [(20 + i, "p", "2.0 MHz") for i in range(3)] + [(30 + i, "q", "3 GHz") for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, product string, clock string")
+    reference = spark.createDataFrame([("p", 2000), ("q", 2500)], "product string, mhz int")
+    out = stored(with_common_units(df, {"clock": "frequency"}, "id", "product"), "units")
+    found = lambda d: sorted(r.id for r in off_reference(d, reference, "product", {"clock": "mhz"}).collect())
+    assert found(out) == [20, 21, 22, 30, 31, 32]
+    # Without the segments only sources whose usual level is off are looked at.
+    assert found(out.withColumn("shifted", F.lit(False))) == [30, 31, 32]
 
 
 def test_unit_changes_are_reversed(spark):
