@@ -1,9 +1,10 @@
 """One consistent form for text that looks the same but is spelled with other characters.
 
-Letters are looked at token by token. Every letter has a set of scripts in which it can be read; the sets
+Letters are looked at token by token. Every letter has a set of scripts, its script extensions; the sets
 are intersected over the token (Han, kana and Hangul end a token, as they stand beside Latin in ordinary text).
 An empty intersection is a mixed-script token, a token all of whose letters have a twin in Latin is a
-whole-script confusable; both are respelled in the script that the remaining letters prove. Afterwards
+whole-script confusable, unless the text proves that its script is in real use; both are respelled in the script that
+the remaining letters prove. Odd letters of the Latin script itself (phonetic ones, small capitals) are spelling. Afterwards
 compatibility forms, separate marks, invisible characters and odd spaces are normalised. Chinese punctuation,
 accents, symbols such as Ω or σ, and line feeds stay.
 """
@@ -15,19 +16,27 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COMPAT, MARK, INVISIBLE, SPACE, LOOKALIKE = 1, 2, 4, 8, 16
 
-# Cyrillic and Greek letters and the Latin letters they are drawn like.
+# Letters of other scripts and the Latin letters they are drawn like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеорсухѕіјһԁԛԝүӏ", "ABESIJKMHOPCTYXYGQWaeopcyxsijhdqwyl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳ", "ABEZHIKMNOPTYXovj", strict=True))
 #: Drawn like Latin letters only within a word; alone they are usual symbols.
 GREEK_WEAK = dict(zip("αγικρυχ", "ayikpux", strict=True))
-LATIN_OF = CYRILLIC | GREEK | GREEK_WEAK
-_TO = {"Cyrl": {v: k for k, v in reversed(CYRILLIC.items())}, "Grek": {v: k for k, v in reversed((GREEK | GREEK_WEAK).items())}}
+ARMENIAN = dict(zip("ՕՏԼՍօսոհզցյ", "OSLUounhqgj", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏂᏏᏴ", "DRTiAJEWMHYGZRWSVSLCPKdhbB", strict=True))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "HIKMNOPCTXopc", strict=True))
+LISU = dict(zip("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+TWINS = {"Cyrl": CYRILLIC, "Grek": GREEK | GREEK_WEAK, "Armn": ARMENIAN, "Cher": CHEROKEE, "Copt": COPTIC, "Lisu": LISU}
+LATIN_OF = {a: b for twins in TWINS.values() for a, b in twins.items()}
+_TO = {script: {b: a for a, b in reversed(twins.items())} for script, twins in TWINS.items()}
+_SCRIPTS = {script: regex.compile(rf"\p{{scx={script}}}") for script in ("Latn", *TWINS)}
+_FOREIGN = regex.compile("[" + "".join(rf"\p{{scx={script}}}" for script in TWINS) + "&&\\p{L}]", regex.V1)
 
 #: Rows without any of these characters are in their final form; Spark tells them apart without Python.
 SUSPECT = "[^\\x00-\\x7f\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff\\u00b7\\u2013\\u2014\\u2018-\\u201d\\u2026\\u3001-\\u3029\\u4e00-\\u9fff\\uff01-\\uff0f\\uff1a-\\uff20\\uff3b-\\uff40\\uff5b-\\uff65]"
@@ -53,12 +62,10 @@ def _char(c: str) -> tuple[int, str]:
 
 @lru_cache(1 << 16)
 def scripts(c: str) -> frozenset[str] | None:
-    """Scripts in which a letter can be read; None for characters of every script."""
-    if not c.isalpha():
+    """Scripts in which a letter is used, by its script extensions; None for what is no letter or belongs to every script."""
+    if not c.isalpha() or regex.match(r"\p{scx=Common}|\p{scx=Inherited}", c):
         return None
-    name = unicodedata.name(c, "")
-    own = "Latn" if name.startswith("LATIN") else "Cyrl" if name.startswith("CYRILLIC") else "Grek" if name.startswith("GREEK") else "Othr"
-    return frozenset((own,))
+    return frozenset(s for s, p in _SCRIPTS.items() if p.match(c)) or frozenset(("Othr",))
 
 
 @lru_cache(1 << 16)
@@ -67,11 +74,7 @@ def _readable(c: str) -> frozenset[str]:
     out = set(scripts(c) or ())
     if c in LATIN_OF:
         out.add("Latn")
-    for script, twin in _TO.items():
-        base = unicodedata.normalize("NFD", c)[0]
-        if c in twin or ("Latn" in out and base in twin and base == c):
-            out.add(script)
-    return frozenset(out)
+    return frozenset(out | {script for script, twin in _TO.items() if c in twin})
 
 
 def _token(word: str, foreign: frozenset[str]) -> str:
@@ -80,20 +83,33 @@ def _token(word: str, foreign: frozenset[str]) -> str:
     if not sets or all(s == {"Latn"} for s in sets):
         return word
     resolved = frozenset.intersection(*sets)
-    letters = [c for c in word if c.isalpha()]
+    letters = [c for c in word if scripts(c)]
     possible = frozenset.intersection(*map(_readable, letters))
     if not resolved:
-        if "Latn" in possible:
-            return "".join(LATIN_OF.get(c, c) for c in word)
-        for script in ("Cyrl", "Grek"):
+        for script in ("Latn", *TWINS):
             if script in possible:
-                return "".join(_TO[script].get(c, c) for c in word)
+                spelling = LATIN_OF if script == "Latn" else _TO[script]
+                return "".join(c if script in (scripts(c) or (script,)) else spelling.get(c, c) for c in word)
         return word
     if "Latn" in possible and not resolved & foreign and not (len(letters) == 1 and letters[0] in GREEK_WEAK):
         return "".join(LATIN_OF.get(c, c) for c in word)
     return word
 
 
+def _proven(text: str) -> frozenset[str]:
+    """Scripts in real use: a word of two letters and more is written in one of them, with a letter that has no Latin twin.
+
+    A symbol that stands alone, such as Δ or σ, proves nothing.
+    """
+    out = set()
+    for m in _WORD.finditer(text):
+        for run in _OWN.split(m[0]):
+            sets = [s for s in map(scripts, run) if s]
+            if len(sets) > 1 and (own := frozenset.intersection(*sets) - {"Latn", "Othr"}) and any(c not in LATIN_OF for c in run if scripts(c)):
+                out |= own
+    return frozenset(out)
+
+
 @lru_cache(1 << 15)
 def _cached(word: str, foreign: frozenset[str]) -> tuple[str, bool]:
     parts, found, at = [], False, 0
@@ -109,9 +125,25 @@ def _cached(word: str, foreign: frozenset[str]) -> tuple[str, bool]:
     return "".join(parts), found
 
 
+#: Raised and lowered digits and signs, and fractions, which say more than the digits they are made of.
+_RAISED = re.compile("(?<=[^\\W_])([⁰¹²³⁴-⁹⁺⁻]+)|(?<=[)\\]])([⁰¹²³⁴-⁹⁺⁻]+)")
+_LOWERED = re.compile("(?<=[^\\W_])([₀-₉₊₋]+)")
+_FRACTION = re.compile("(\\d?)([¼-¾⅐-⅞])")
+
+
 def canonical(text: str) -> tuple[str, int]:
-    """The text in its one form, and a mask of what was odd in it."""
+    """The text in its one form, and a mask of what was odd in it.
+
+    Raised digits that follow a letter, digit or bracket come out as ``^2``, lowered ones as ``_2``, fractions as ``1/2``
+    (after a digit with a space between), so that m² does not become m2 nor 3½ become 31/2.
+    """
     mask, out = 0, []
+    if not text.isascii() and (_RAISED.search(text) or _LOWERED.search(text) or _FRACTION.search(text)):
+        mask |= COMPAT
+        flat = lambda s: unicodedata.normalize("NFKC", s).replace("\u2212", "-").replace("\u2044", "/")
+        text = _RAISED.sub(lambda m: "^" + flat(m[0]), text)
+        text = _LOWERED.sub(lambda m: "_" + flat(m[0]), text)
+        text = _FRACTION.sub(lambda m: m[1] + " " * bool(m[1]) + flat(m[2]), text)
     for c in text:
         if c < "\x80":
             out.append(c)
@@ -123,8 +155,8 @@ def canonical(text: str) -> tuple[str, int]:
     if any(unicodedata.category(b) == "Mn" and a.isalpha() for a, b in zip(plain, plain[1:]) if b > "˿"):
         mask |= MARK
         plain = unicodedata.normalize("NFC", plain)
-    if any("Ͱ" <= c <= "ԯ" or "ἀ" <= c <= "῿" for c in plain):
-        foreign = frozenset(s for s in ("Cyrl",) if any(s in (scripts(c) or ()) and c not in LATIN_OF for c in plain))
+    if _FOREIGN.search(plain):
+        foreign = _proven(plain)
 
         def word(m: re.Match) -> str:
             nonlocal mask

@@ -38,6 +38,15 @@ from quern.llm.vptree import Tree, VantageIndex, most_similar, similar_pairs
         ("量測 Δ、σ 與 Ω，（一）．", "量測 Δ、σ 與 Ω，（一）．", 0),
         ("Café façade\n", "Café façade\n", 0),
         ("Москва и С", "Москва и С", 0),
+        ("Η ΝΙΚΗ ΚΑΙ Η ΑΝΝΑ ΣΤΗΝ ΑΘΗΝΑ", "Η ΝΙΚΗ ΚΑΙ Η ΑΝΝΑ ΣΤΗΝ ΑΘΗΝΑ", 0),
+        ("ΝΙΚΗ 量測 Δ", "NIKH 量測 Δ", LOOKALIKE),
+        ("Ꭺpple 與 օbject", "Apple 與 object", LOOKALIKE),
+        ("ꓮꓲ 課程", "AI 課程", LOOKALIKE),
+        ("ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᎠᎪ", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᎠᎪ", 0),
+        ("հայերեն օս", "հայերեն օս", 0),
+        ("/kɑt/ ɡ", "/kɑt/ ɡ", 0),
+        ("5 m² 與 x₁₀、(a+b)³", "5 m^2 與 x_10、(a+b)^3", COMPAT),
+        ("½ 與 3½", "1/2 與 3 1/2", COMPAT),
         ("Pусский", "Русский", 0),
         ("", "", 0),
     ],
