@@ -9,19 +9,23 @@ below code everything is text, and of all such labelings the most probable one c
 
 from __future__ import annotations
 
+import hashlib
 import html
 import html.entities
 import math
+import pickle
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.canonical import SUSPECT, canonical
+from quern.session import shared_dir
 
 TEXT, WRAP, WASTE = 0, 1, 2
 
@@ -40,8 +44,8 @@ FAMILIES = ["html", "markdown", "wiki", "latex"]
 _SCAN = re.compile(
     r"""
       (?P<comment><!--.*?-->|<!--|-->)
-    | (?P<close></\s*[A-Za-z][A-Za-z0-9]*\s*>)
-    | (?P<open><[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z-]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s<>"']+))?)*\s*/?>)
+    | (?P<close></\s*[A-Za-z][\w:.-]*\s*>)
+    | (?P<open><[A-Za-z][\w:.-]*+(?:\s+[\w:.@-]++(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s<>"']+))?)*+\s*/?>)
     | (?P<entity>&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)
     | ^[ ]{0,3}(?P<fence>(?:```|~~~)[\w+-]*[ ]*)$
     | (?P<code>`+[^`\n]+`+)
@@ -56,18 +60,18 @@ _SCAN = re.compile(
     | ^(?P<row>[|!](?![|\]])(?:[^\n]*[|][ ]*(?=$)|[^\n]*\|\|[^\n]*|[^\n]*))
     | ^(?P<bullet>[ ]{0,6}[*+•‧●◦][ ]+)(?=\S)
     | (?P<wikilink>\[\[[^\[\]\n]*\]\])
-    | (?P<template>\{\{[^{}\n]*\}\})
+    | (?P<template>\{\{(?:[^{}]++|\{(?!\{)[^{}]*+\}(?!\}\})|\{\{[^{}]*+\}\})*+\}\})
     | (?P<quotes>'{2,5})
     | (?P<env>\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?)
-    | (?P<math>\\\[.*?\\\]|\\\(.*?\\\)|\$\$[^$]+\$\$|\$(?=\S)[^$\n]{1,200}(?<=\S)\$(?!\d)|\\[\[\]()])
-    | (?P<command>\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\}){0,2})
+    | (?P<math>\\\[.*?\\\]|\\\(.*?\\\)|\$\$[^$]+\$\$|\$(?=\S)[^$\n]++(?<=\S)\$(?!\d)|\\[\[\]()])
+    | (?P<command>\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\})*+)
     | (?P<stars>\*{1,3})
     | (?P<unders>_{1,3})
     | (?P<tildes>~{1,2})
     | (?P<dollar>\$)
-    | (?P<angle><[^<>\n\s][^<>\n]{0,40}>)
-    | (?P<bracket>\[\^?[^\[\]\n]{1,60}\])
-    | (?P<brace>\{[^{}\n]{0,60}\})
+    | (?P<angle><[^<>\n\s][^<>\n]*+>)
+    | (?P<bracket>\[\^?[^\[\]\n]++\])
+    | (?P<brace>\{[^{}\n]*+\})
     | (?P<hash>\#)
     | (?P<equals>={2,3})
     | (?P<less>[<>])
@@ -101,8 +105,8 @@ def parse(text: str) -> list[Node]:
         node = Node(kind, m.start(kind if kind != "wikihead" or m["wikihead"] else "wikitail"), m.end(m.lastgroup), m[m.lastgroup])
         raw = node.raw
         if kind in ("open", "close"):
-            node.name = re.match(r"</?\s*([A-Za-z0-9]+)", raw)[1].lower()
-            node.attrs = len(re.findall(r"\s[A-Za-z-]+\s*(?==|\s|/?>)", raw))
+            node.name = re.match(r"</?\s*([\w:.-]+)", raw)[1].lower()
+            node.attrs = len(re.findall(r"\s[\w:.@-]+\s*(?==|\s|/?>)", raw))
         elif kind in ("command", "env"):
             node.name = re.match(r"\\([A-Za-z]+)", raw)[1]
             node.attrs = raw.count("{") + raw.count("[")
@@ -416,6 +420,23 @@ def model(count: int = 3000, seed: int = 7) -> BoostedTrees:
     return BoostedTrees().fit(*labelled(examples(count, seed)))
 
 
+def stored_model(spark: SparkSession, count: int = 3000, seed: int = 7) -> BoostedTrees:
+    """``model``, fitted once for all sessions that share a folder: it is kept there under a name that its code gives."""
+    name = hashlib.sha256(f"{count} {seed} {Path(__file__).read_text()}".encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/quern/models/markup-{name}"
+    if (path, count, seed) not in _models:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            _models[path, count, seed] = pickle.loads(spark.read.parquet(path).first()[0])
+        else:
+            _models[path, count, seed] = model(count, seed)
+            spark.createDataFrame([(bytearray(pickle.dumps(_models[path, count, seed])),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return _models[path, count, seed]
+
+
+_models: dict[tuple[str, int, int], BoostedTrees] = {}
+
+
 # ---- rendering ---------------------------------------------------------------------------------------------------
 
 _SYMBOL = {"sum": "Σ", "prod": "Π", "int": "∫", "infty": "∞", "times": "×", "cdot": "·", "leq": "≤", "geq": "≥", "neq": "≠", "pm": "±", "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "lambda": "λ", "mu": "μ", "pi": "π", "rho": "ρ", "sigma": "σ", "theta": "θ", "omega": "ω", "partial": "∂", "ldots": "…", "quad": " ", "left": "", "right": ""}
@@ -432,9 +453,24 @@ def formula(tex: str) -> str:
     return re.sub(r"\\([A-Za-z]+)", lambda m: _SYMBOL.get(m[1], m[1]), s).replace("{", "").replace("}", "")
 
 
+#: A heading's level stands before it as so many signs.
+LEVEL = "§"
+#: Levels of LaTeX headings.
+_LATEX_LEVEL = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
+
+
+def _heading(level: int) -> str:
+    return f"\n\n{LEVEL * level} "
+
+
+def _raised(inner: str, sign: str) -> str:
+    return sign + (inner if len(inner) < 2 or inner.isdigit() else f"({inner})")
+
+
 def _shown(n: Node) -> str:
     """What stands for a wrapper's own marks; the content of pairs stands between them in the text."""
     raw, kind = n.raw, n.kind
+    first = n.partner is None or n.partner.start > n.start
     if kind == "entity":
         plain = html.unescape(raw)
         return " " if plain == "\xa0" else plain
@@ -443,9 +479,11 @@ def _shown(n: Node) -> str:
             return "\n- " if kind == "open" else "\n"
         if n.name in ("td", "th"):
             return "｜" if kind == "close" else ""
-        return "\n\n" if n.name[0] == "h" and n.name[1:].isdigit() else "\n" if n.name in BLOCKS else ""
-    if kind == "code":
-        return raw.strip("`")
+        if n.name in ("sup", "sub"):
+            return {"sup": "^", "sub": "_"}[n.name] if kind == "open" and n.partner is not None else ""
+        if n.name[0] == "h" and n.name[1:].isdigit():
+            return _heading(int(n.name[1:])) if kind == "open" and n.partner is not None else "\n\n"
+        return "\n" if n.name in BLOCKS else ""
     if kind in ("link", "wikilink"):
         inner = raw.strip("[]")
         if kind == "wikilink":
@@ -457,7 +495,9 @@ def _shown(n: Node) -> str:
         if n.name == "item":
             return "\n- " + raw[5:].strip("{}")
         inner = "".join(re.findall(r"\{([^{}]*)\}", raw))
-        return f"\n\n{inner}\n\n" if n.name.endswith(("section", "chapter", "paragraph")) and inner else inner or _SYMBOL.get(n.name, "")
+        if n.name in ("textsuperscript", "textsubscript") and inner:
+            return _raised(inner, "^" if n.name == "textsuperscript" else "_")
+        return f"{_heading(_LATEX_LEVEL[n.name])}{inner}\n\n" if n.name in _LATEX_LEVEL and inner else inner or _SYMBOL.get(n.name, "")
     if kind == "row":
         cells = [c.strip() for c in re.split(r"\|\||!!|\|", raw.strip("|! "))]
         return "" if all(re.fullmatch(r":?-+:?", c) for c in cells) else "｜".join(cells)
@@ -466,20 +506,44 @@ def _shown(n: Node) -> str:
     if kind == "bullet":
         return "- "
     if kind == "wikihead":
-        return "\n" if n.partner is None or n.partner.start > n.start else "\n"
+        return (_heading(len(raw.strip())) if first and n.partner is not None else "\n")
     if kind == "heading":
-        return "\n"
+        return _heading(raw.count("#"))
     if kind in ("angle", "bracket", "brace"):
         return raw[1:-1]
     return ""
 
 
-def clean(text: str, trees: BoostedTrees, scores: np.ndarray | None = None, nodes: list[Node] | None = None) -> tuple[str, int]:
-    """The text without its markup, and how many nodes of markup it held."""
+#: Noncharacters that hold the place of code until all else is clean, so that marks within code stay.
+_HELD, _END = "\ufdd0", "\ufdd1"
+
+
+def _code(n: Node, text: str) -> str | None:
+    """What an inline or block of code stands for; a block is indented by four spaces. None: no code."""
+    if n.kind == "code":
+        return n.raw.strip("`")
+    if n.partner is None or n.partner.start < n.start or n.kind not in ("fence", "open") or (n.kind == "open" and n.name not in ("pre", "code")):
+        return None
+    inner = text[n.end : n.partner.start]
+    if n.kind == "open" and n.name == "code":
+        return html.unescape(inner)
+    if n.kind == "open":
+        inner = html.unescape(re.sub(r"(?i)^\s*<code[^<>]*>|</code\s*>\s*$", "", inner))
+    lines = inner.strip("\n").split("\n")
+    return "\n" + "\n".join("    " + x.rstrip() if x.strip() else "" for x in lines) + "\n"
+
+
+def restored(text: str, held: list[str]) -> str:
+    return re.sub(f"{_HELD}(\\d+){_END}", lambda m: held[int(m[1])] if int(m[1]) < len(held) else m[0], text) if held else text
+
+
+def clean(text: str, trees: BoostedTrees, scores: np.ndarray | None = None, nodes: list[Node] | None = None, held: list[str] | None = None) -> tuple[str, int]:
+    """The text without its markup, and how many nodes of markup it held. held: takes the code, whose places stay marked."""
     nodes = parse(text) if nodes is None else nodes
     if not nodes:
         return text, 0
     decode(nodes, trees.log_probabilities(features(text, nodes)) if scores is None else scores)
+    kept = [] if held is None else held
     out, at, found = [], 0, 0
     for n in nodes:
         if n.start < at:
@@ -489,10 +553,15 @@ def clean(text: str, trees: BoostedTrees, scores: np.ndarray | None = None, node
             continue
         found += 1
         out.append(text[at : n.start])
-        if n.label == WRAP:
-            out.append(_shown(n))
         at = n.end
-        if n.label == WASTE and n.partner is not None and n.partner.start > n.start:
+        if n.label == WRAP:
+            if (code := _code(n, text)) is not None:
+                out.append(f"{_HELD}{len(kept)}{_END}")
+                kept.append(code)
+                at = n.end if n.partner is None else n.partner.end
+            else:
+                out.append(_shown(n))
+        elif n.partner is not None and n.partner.start > n.start:
             at = n.partner.end
     out.append(text[at:])
     plain = "".join(out)
@@ -500,7 +569,7 @@ def clean(text: str, trees: BoostedTrees, scores: np.ndarray | None = None, node
         plain = re.sub(r"[ \t]+\n", "\n", re.sub(r"｜(?=\s|$)", "", plain))
         plain = re.sub(r"(?m)^- +", "- ", plain)
         plain = re.sub(r"\n{3,}", "\n\n", plain).strip()
-    return plain, found
+    return (restored(plain, kept).strip("\n") if held is None else plain), found
 
 
 def _cleaner(trees: BoostedTrees):
@@ -518,10 +587,12 @@ def _cleaner(trees: BoostedTrees):
         scores = trees.log_probabilities(np.concatenate(parts)) if parts else None
         rows, at = [], 0
         for t, nodes in zip(plain, parsed, strict=True):
-            rows.append(clean(t, trees, scores[at : at + len(nodes)], nodes) if nodes else (t, 0))
-            # Marks that another mark hid show once that one is gone.
-            while nodes and rows[-1][1] and (again := clean(rows[-1][0], trees))[1] and again[0] != rows[-1][0]:
-                rows[-1] = (again[0], rows[-1][1] + again[1])
+            held: list[str] = []
+            now, found = clean(t, trees, scores[at : at + len(nodes)], nodes, held) if nodes else (t, 0)
+            # Marks that another mark hid show once that one is gone; code keeps its own.
+            while nodes and found and (again := clean(now, trees, held=held))[1] and again[0] != now:
+                now, found = again[0], found + again[1]
+            rows.append((restored(now, held).strip("\n") if held else now, found))
             at += len(nodes)
         return pd.DataFrame(rows, columns=["text", "found"])
 
@@ -534,12 +605,13 @@ _SUSPECT = re.compile(SUSPECT)
 def with_clean_text(df: DataFrame, column: str, out: str = "clean_text", found: str = "markup", training_texts: int = 3000) -> DataFrame:
     """``df`` with the text of ``column`` without markup, and the number of markup nodes that it held.
 
-    Kept are headings (as lines of their own), list items (``- ``), table rows (cells joined by ``｜``), code and, in plain
-    signs, formulas; comments, scripts, images, templates and footnotes go. Null stays null with 0; a text without
+    Kept are headings (lines of their own, after as many ``§`` as their level), list items (``- ``), table rows (cells
+    joined by ``｜``), code with all its characters (blocks indented by four spaces), raised and lowered text (``^``,
+    ``_``) and, in plain signs, formulas; comments, scripts, images, templates and footnotes go. Null stays null with 0; a text without
     markup stays as it is. Whole texts are read; only rows with a candidate character visit Python. The model is fitted
     on ``training_texts`` made-up examples. Columns named like the results are replaced, all others are kept.
     """
     c = F.col(f"`{column}`")
     candidate = c.rlike(f"(?m){CANDIDATE}") | c.rlike("[\\uff00-\\uffef]") & c.rlike("[＜＞＆｀＼＄＊＿～［］｛｝｜＃＝＇]")
-    done = df.withColumn("__clean", _cleaner(model(training_texts))(F.when(candidate, c)))
+    done = df.withColumn("__clean", _cleaner(stored_model(df.sparkSession, training_texts))(F.when(candidate, c)))
     return done.withColumns({out: F.when(candidate, F.col("__clean.text")).otherwise(c), found: F.coalesce(F.col("__clean.found"), F.lit(0))}).drop("__clean")

@@ -272,13 +272,19 @@ def test_boosting_learns_an_interaction():
     [
         ("<p>甲<b>乙</b></p><!-- x -->", "甲乙"),
         ("a &lt; b &amp;&nbsp;c", "a < b & c"),
-        ("## 標題\n內文 **重點** 與 [連結](https://a.example/1)", "標題\n內文 重點 與 連結"),
-        ("== 標題 ==\n內文 '''重點''' 與 [[頁|名]]", "標題 \n內文 重點 與 名"),
+        ("## 標題\n內文 **重點** 與 [連結](https://a.example/1)", "§§ 標題\n內文 重點 與 連結"),
+        ("== 標題 ==\n內文 '''重點''' 與 [[頁|名]]", "§§ 標題 \n內文 重點 與 名"),
         ("{| class=wikitable\n|-\n| 甲 || 3\n|}", "甲｜3"),
         ("| 甲 | 3 |\n|---|---:|\n| 乙 | 4 |", "甲｜3\n\n乙｜4"),
         ("\\begin{itemize}\\item 甲\\item 乙\\end{itemize}", "- 甲\n- 乙"),
         ("複雜度為 $O(n^{3}\\log n)$。", "複雜度為 O(n^3log n)。"),
         ("<script>var k=1;</script>甲", "甲"),
+        ("\\section{標題}內文", "§ 標題 內文"),
+        ("<h3>標題</h3><p>內文</p>", "§§§ 標題 內文"),
+        ("水是 H<sub>2</sub>O，面積 m<sup>2</sup>。", "水是 H_2O，面積 m^2。"),
+        ("前 {{資訊框\n| 名稱 = 甲 {{小|乙}}\n| 值 = 3\n}} 後", "前 後"),
+        ("複雜度為 $" + "a_{1}+" * 300 + "b^{2}$。", "複雜度為 " + "a_1+" * 300 + "b^2。"),
+        ('<a data-id2="1" xlink:href="https://a.example/very/long/path/that/goes/on/and/on">甲</a>', "甲"),
     ],
 )
 def test_markup_goes(text, plain):
@@ -293,6 +299,28 @@ def test_what_only_looks_like_markup_stays(text):
     assert clean(text, model()) == (text, 0)
 
 
+def test_code_keeps_its_marks_and_lines():
+    text = "說明：\n```\nif a < b:\n    x = '<b>' + \"&amp;\"\n```\n再用 `a**b**` 與 <code>&lt;i&gt;</code>。"
+    got, found = clean(text, model())
+    assert found and "    if a < b:\n        x = '<b>' + \"&amp;\"" in got and "a**b**" in got and "<i>" in got and "```" not in got
+
+
+def test_scanning_stays_linear():
+    import time
+
+    for text in ("{{" * 20_000, "$" + "a" * 200_000, "<" * 50_000, "<a " + "b " * 50_000, "[" * 50_000, "{{" + "{a}" * 50_000, "\\x" + "{a}" * 50_000):
+        began = time.perf_counter()
+        markup.parse(text)
+        assert time.perf_counter() - began < 20
+
+
+def test_the_model_is_kept(spark):
+    first = markup.stored_model(spark, 60)
+    markup._models.clear()
+    x, _ = labelled(examples(20, seed=3))
+    assert np.array_equal(first.log_probabilities(x), markup.stored_model(spark, 60).log_probabilities(x))
+
+
 def test_labels_do_not_contradict():
     for text, _ in examples(200, seed=5):
         nodes = markup.parse(text)
