@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.llm import codes, leaks, markup
+from quern.llm import mixture as mixture_module
 from quern.llm.canonical import COMPAT, INVISIBLE, LOOKALIKE, MARK, SPACE, canonical, with_canonical
 from quern.llm.graph import Graph, one_edit
 from quern.llm.history import HistoryIndex, keyed, repeated_rows, subkeys
@@ -463,7 +464,7 @@ def test_a_passage_of_all_documents_sends_one_witness_a_block():
 # ---- mixture
 
 
-def test_mixture_meets_its_targets(spark):
+def test_mixture_meets_its_targets(spark, monkeypatch):
     rng = random.Random(3)
     text = lambda: "課程 text " * rng.randrange(5, 60)
     docs = [(i, rng.choices("abc", weights=[70, 25, 5])[0], text()) for i in range(1500)] + [(9000, "a", None), (9001, "a", " \n"), (9002, None, "x"), (9003, "other", "x")]
@@ -478,6 +479,17 @@ def test_mixture_meets_its_targets(spark):
     assert all(r["count"] <= most[r.source] for r in sample.groupBy("source", "doc_id").count().collect())
     assert report["c"].repeats > 1
     assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, mixture(df.repartition(7), targets).collect()))
+    # However many slots are ranked in one task, the schedule is the same.
+    monkeypatch.setattr(mixture_module, "RANKED", 7)
+    assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, mixture(df, targets).collect()))
     capped = mixture(df, targets, total_tokens=20_000).agg(F.sum("tokens")).first()[0]
     assert 15_000 < capped < 25_000
     assert mixture(df.limit(0), targets).count() == 0
+
+
+def test_a_source_smaller_than_a_block_counts_by_its_size(spark):
+    rows = [(i, "big", "課程 text " * 40) for i in range(400)] + [(1000, "small", "課程 text " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("big", 0.99, 1), ("small", 0.01, 1000)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mixture_report(mixture(df, targets), targets).collect()}
+    assert abs(report["small"].actual_share - 0.01) < 0.003 and report["small"].repeats > 10
