@@ -211,13 +211,17 @@ class Graph:
 
     def _walk(self, names: list[str], at: np.ndarray, v: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         begin, width = self.begin[at], int(self.size[at].max())
-        seen = np.zeros(len(names) * width, bool)
+        seen, writer = np.zeros(len(names) * width, bool), np.empty(len(names) * width, np.int32)
         entries = self._entries(names, at)
         row, node = np.repeat(np.arange(len(names)), entries.shape[1]), entries.ravel()
-        spot = np.unique(row * width + node - begin[row])
+        spot = row * width + node - begin[row]
         q_hit, n_hit = [], []
 
         def met(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            # Of several ways to one node the last one counts.
+            order = np.arange(len(spot), dtype=np.int32)
+            writer[spot] = order
+            spot = spot[writer[spot] == order]
             seen[spot] = True
             r = spot // width
             n = spot - r * width + begin[r]
@@ -241,7 +245,7 @@ class Graph:
             ok = near >= 0
             r = np.repeat(row[rest], ok.sum(1))
             spot = r * width + near[ok] - begin[r]
-            r, n, d = met(np.unique(spot[~seen[spot]]))
+            r, n, d = met(spot[~seen[spot]])
             row, node, far, done = np.concatenate([row, r]), np.concatenate([node, n]), np.concatenate([far, d]), np.concatenate([done, np.zeros(len(r), bool)])
         q, n = np.concatenate(q_hit), np.concatenate(n_hit)
         alive = ~self.dead[n]

@@ -174,7 +174,7 @@ class HistoryIndex:
     its rows fall into.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, rows_per_shard: int = 2048, fan: int = 4, part: int = PART):
+    def __init__(self, spark: SparkSession, path: str | None = None, rows_per_shard: int = 4096, fan: int = 4, part: int = PART):
         self.spark, self.path, self.rows_per_shard, self.fan, self.part = spark, path or new_path(spark, "history"), rows_per_shard, fan, part
         jvm = spark.sparkContext._jvm
         self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
