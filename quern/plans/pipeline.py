@@ -65,7 +65,11 @@ def run_pipeline(documents: DataFrame, cfg: PipelineConfig, embedder: Embedder |
         path = f"{cfg.out}/{name}"
         if cfg.rebuild:
             drop_table(spark, path)
-        counts[name] = upsert_table(spark, path, rows().withColumn("__n", F.monotonically_increasing_id()), "chunk_id", ["__n"]).count()
+        held = upsert_table(spark, path, rows().withColumn("__n", F.monotonically_increasing_id()), "chunk_id", ["__n"])
+        counts[name] = held.count()
+        if name == "text":
+            # Searches read the postings, not the texts.
+            FullTextIndex.build(held).write(f"{cfg.out}/postings")
     return counts
 
 
@@ -82,7 +86,7 @@ def retrieve(spark: SparkSession, queries: DataFrame, out: str, cfg: RetrievalCo
         rows = spark.read.parquet(f"{out}/text")
         names = ("title", "url", "published_at", "doc_id")
         meta = F.map_from_arrays(F.array(*(F.lit(n) for n in names)), F.array(*names))
-        met = FullTextIndex.build(rows).search(asked, cfg.text_pool)
+        met = FullTextIndex.open(spark, f"{out}/postings").search(asked, cfg.text_pool)
         text_hits = met.join(rows.select(F.col("chunk_id").alias("id"), F.col("text").alias("doc"), meta.alias("meta")), "id").select("query_id", "id", "doc", "meta", similarity(F.col("score")).alias("bm25_sim"), F.col("rank").alias("place"))
     return hybrid_search(asked, vector_hits, text_hits, reranker or LexicalReranker(), cfg.top_k, cfg.recent_days, now)
 
