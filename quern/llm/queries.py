@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import oracles
 from quern.llm.canonical import with_canonical
 from quern.llm.history import keyed, repeated_rows
 from quern.llm.leaks import leaked_items
@@ -156,4 +157,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4, "p7_ranking": _P7, "p10_found": _P10}
+    return {"p1_found": oracles.p1_found(), "p2_found": oracles.p2_found(), "p4_found": _P4, "p7_ranking": _P7, "p8_found": oracles.p8_found(), "p10_found": _P10}

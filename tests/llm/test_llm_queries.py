@@ -48,13 +48,14 @@ def test_p4(spark, small):
     assert rows(spark, small, "p4_found") == want
 
 
-def test_p7(spark, small):
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_sql(spark, small, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW search_hits AS SELECT * FROM '{Path(small)}/search_hits.parquet'")
-    want = con.execute(llm.oracle_sql()["p7_ranking"])
+    for path in Path(small).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    want = con.execute(llm.oracle_sql()[name])
     names = [d[0] for d in want.description]
-    got = llm.queries()["p7_ranking"](spark, small).select(*names)
-    assert {tuple(r) for r in got.collect()} == set(want.fetchall())
+    assert {tuple(r) for r in llm.queries()[name](spark, small).select(*names).collect()} == set(want.fetchall())
 
 
 def test_p8(spark, small):
