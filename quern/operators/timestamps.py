@@ -147,8 +147,10 @@ def with_instant(df: DataFrame, column: str, source: str | Column, zone: str | C
     is split by the engine where such a string makes a partition too large.
     """
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    rows = df.drop(out).withColumns({"__source": as_column(source), "__zone": as_column(zone), "__raw": F.col(f"`{column}`")})
-    strings = rows.select(F.col("__source").alias("source"), F.col("__zone").alias("zone"), F.col("__raw").alias("raw"))
+    rows = df.drop(out).withColumns({"__source": as_column(source), "__zone": as_column(zone)})
+    strings = rows.select(F.col("__source").alias("source"), F.col("__zone").alias("zone"), F.col(f"`{column}`").alias("raw"))
+    # Nulls are in no dictionary; spread over many keys they do not meet in one task.
+    rows = rows.withColumn("__raw", F.coalesce(F.col(f"`{column}`"), F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 4096).cast("string"))))
     known = extend_dictionary(strings, path).select(F.col("source").alias("__s"), F.col("zone").alias("__z"), F.col("raw").alias("__r"), F.col("instant").alias(out))
     on = (F.col("__source") == F.col("__s")) & (F.col("__zone") == F.col("__z")) & (F.col("__raw") == F.col("__r"))
     return rows.join(known, on, "left").drop("__source", "__zone", "__raw", "__s", "__z", "__r")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.timestamps import same_instant_pairs, with_instant
 from quern.operators.units import FREQUENCY, MEMORY, off_reference, with_common_units
-from quern.plans import catalogue, corpus_queries  # noqa: F401 - importing the catalogue registers its queries
+from quern.plans import catalogue, corpus_queries, instants_sql  # noqa: F401 - importing the catalogue registers its queries
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _p5_sql()} | corpus_queries.SQL
+    return {"p3_found": instants_sql.PAIRS, "p3_instants": instants_sql.ROWS, "p5_found": _p5_sql()} | corpus_queries.SQL
