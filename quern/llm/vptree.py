@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,13 @@ from pyspark.sql import types as T
 from quern.session import stored
 
 #: Rows the centres are fitted on; rows of a shard; points of a leaf.
-SAMPLE, SHARD_ROWS, LEAF = 20_000, 16_384, 512
+SAMPLE, SHARD_ROWS, LEAF = 20_000, 16_384, 384
+#: Centres of the first level, and of a shard of the second, at most; rows of a shard that the second level is fitted on.
+FIRST, SECOND, SECOND_SAMPLE = 256, 512, 4096
 #: Parts of one shard at most; the number of a part is shard * PARTS + part.
 PARTS = 1 << 16
 _ROW = T.StructType([T.StructField("vid", T.LongType()), T.StructField("own", T.LongType()), T.StructField("raw", T.BinaryType())])
+_CELL = T.StructType([T.StructField("own", T.LongType()), T.StructField("cell", T.LongType()), T.StructField("n", T.LongType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
 _TASK = T.StructType([T.StructField("target", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("vid", T.LongType()), T.StructField("raw", T.BinaryType()), T.StructField("radius", T.FloatType())])
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
 
@@ -159,12 +163,24 @@ class Tree:
 
 
 class Reach:
-    """What tells which shards a query may leave out: centres, counts, and ranges of angles of each shard to each centre."""
+    """What tells which cells a query may leave out: centres, counts, and ranges of angles of shards and of their cells.
+
+    A shard is one cell, or, where it holds too many rows, as many as it has centres of the second level. A cell that
+    still holds too many (copies of one vector, say) is parted by the hash of the id, so no task holds more than about
+    twice ``shard_rows`` points.
+    """
 
     def __init__(self, centres: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, shard_rows: int):
-        self.centres, self.n, self.lo, self.hi = centres, n, lo, hi
-        # A shard that the sample took for smaller is parted by hash, so no task holds more than about shard_rows points.
-        self.parts = np.maximum(1, -(-n // (2 * shard_rows)))
+        self.centres, self.n, self.lo, self.hi, self.shard_rows = centres, n, lo, hi, shard_rows
+        self.cells: list[tuple[np.ndarray | None, np.ndarray, np.ndarray]] = [(None, np.zeros(1), np.full(1, math.pi))] * len(n)
+        self.parts = [np.maximum(1, -(-n[i : i + 1] // (2 * shard_rows))) for i in range(len(n))]
+
+    def divide(self, shard: int, centres: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        self.cells[shard] = (centres, lo, hi)
+        self.parts[shard] = np.maximum(1, -(-n // (2 * self.shard_rows)))
+
+    def width(self) -> int:
+        return int(sum(p.sum() for p in self.parts))
 
     def shards(self, x: np.ndarray, margin: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Which shards a query's margin reaches, by its angle to each shard's centre and to its own."""
@@ -174,6 +190,40 @@ class Reach:
         mine = far[np.arange(len(x)), own][:, None]
         return ok & (mine >= self.lo.T[own] - m) & (mine <= self.hi.T[own] + m) & (self.n > 0)[None]
 
+    def cell(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The cell, within its shard, of each vector."""
+        out = np.zeros(len(own), np.int64)
+        for shard in np.unique(own).tolist():
+            if (c := self.cells[shard][0]) is not None:
+                at = np.flatnonzero(own == shard)
+                out[at] = (x[at] @ c.T).argmax(1)
+        return out
+
+    def place(self, own: np.ndarray, cell: np.ndarray, vid: np.ndarray) -> np.ndarray:
+        """The task of each vector: its shard, cell and part."""
+        out = np.empty(len(own), np.int64)
+        for shard in np.unique(own).tolist():
+            at, parts = np.flatnonzero(own == shard), self.parts[shard]
+            first = np.cumsum(parts) - parts
+            out[at] = shard * PARTS + first[cell[at]] + vid[at] % parts[cell[at]]
+        return out
+
+    def tasks(self, x: np.ndarray, ok: np.ndarray, margin: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(shard, cell, tasks, queries) for the cells that the queries' margins reach among the shards ``ok``."""
+        for shard in np.flatnonzero(ok.any(0)).tolist():
+            hit = np.flatnonzero(ok[:, shard])
+            c, lo, hi = self.cells[shard]
+            near = None
+            if c is not None:
+                far, m = angles(x[hit], c), margin[hit][:, None] + 1e-3
+                near = (far >= lo[None] - m) & (far <= hi[None] + m)
+            first = shard * PARTS
+            for cell, parts in enumerate(self.parts[shard].tolist()):
+                rows = hit if near is None else hit[near[:, cell]]
+                if len(rows):
+                    yield shard, cell, np.arange(first, first + parts), rows
+                first += parts
+
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Tree, pa.RecordBatch]]:
     """(ids, tree, queries) for each run of queries to one part, whose points came before them."""
@@ -199,8 +249,9 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Tr
 class VantageIndex:
     """Shards of the usable vectors of a table: their centres, counts and ranges of angles, and the vectors themselves.
 
-    Centres are fitted on at most ``SAMPLE`` vectors, those of the smallest hash of their id; every vector is indexed. What
-    reaches the driver is bounded by that sample and by the square of the number of centres, at most 256.
+    Centres are fitted on at most ``SAMPLE`` vectors, those of the smallest hash of their id, and those of a shard's cells
+    on at most ``SECOND_SAMPLE`` of its own; every vector is indexed. What reaches the driver and the tasks is bounded by
+    that sample, by the square of the ``FIRST`` centres, and by ``SECOND`` centres for each of them.
     """
 
     def __init__(self, df: DataFrame, vid: str, vector: str, shard_rows: int = SHARD_ROWS, least_shards: int = 12):
@@ -220,7 +271,7 @@ class VantageIndex:
         if self.empty:
             return
         sample = _matrix([bytes(r.raw) for r in held])
-        count = min(256, len(held), max(least_shards, total // shard_rows))
+        count = min(FIRST, len(held), max(least_shards, total // shard_rows))
         c = centres(sample, count)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,43 +304,79 @@ class VantageIndex:
         for r in lows.collect():
             lo[r.own, r.pos], hi[r.own, r.pos] = r.lo, r.hi
         self.reach = Reach(c, n, lo, hi, shard_rows)
+        if (n > 2 * shard_rows).any():
+            self._divide(n, shard_rows)
+
+    def _divide(self, n: np.ndarray, shard_rows: int) -> None:
+        """Cells for the shards that hold too many rows."""
+        reach, wanted = self.reach, {i: int(min(SECOND, -(-n[i] // shard_rows))) for i in np.flatnonzero(n > 2 * shard_rows).tolist()}
+        big = self.rows.where(F.col("own").isin(list(wanted)))
+        order = F.row_number().over(Window.partitionBy("own").orderBy(F.xxhash64("vid"), "vid"))
+        sample = big.withColumn("place", order).where(F.col("place") <= SECOND_SAMPLE).select("own", "raw")
+
+        def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            x = _matrix(frame["raw"].tolist())
+            return pd.DataFrame({"own": [key[0]], "centres": [centres(x, min(len(x), wanted[key[0]])).tobytes()]})
+
+        for r in sample.groupBy("own").applyInPandas(fit, "own long, centres binary").collect():
+            c = np.frombuffer(bytes(r.centres), float).reshape(-1, reach.centres.shape[1])
+            reach.divide(r.own, c, np.ones(len(c), np.int64), np.zeros(len(c)), np.full(len(c), math.pi))
+        shared = self.rows.sparkSession.sparkContext.broadcast(reach)
+
+        def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, own = _matrix(batch.column(2)), batch.column(1).to_numpy()
+                if not len(own):
+                    continue
+                cell = shared.value.cell(x, own)
+                far = np.array([math.acos(min(1.0, max(-1.0, float(v @ shared.value.cells[s][0][k])))) for v, s, k in zip(x, own.tolist(), cell.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(cell), pa.array(np.ones(len(own), np.int64)), pa.array(far), pa.array(far)], _CELL.names)
+
+        facts: dict[int, list] = {}
+        for r in big.mapInArrow(ranges, _CELL).groupBy("own", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+            facts.setdefault(r.own, []).append(r)
+        for own, rows in facts.items():
+            k = len(reach.cells[own][0])
+            count, lo, hi = np.zeros(k, np.int64), np.full(k, 9.0), np.full(k, -9.0)
+            for r in rows:
+                count[r.cell], lo[r.cell], hi[r.cell] = r.n, r.lo, r.hi
+            reach.divide(own, reach.cells[own][0], count, lo, hi)
 
     def _points(self) -> DataFrame:
-        parts = self.reach.parts
+        shared = self._shared()
 
         def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own, vid = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-                target = own * PARTS + vid % parts[own]
-                yield pa.RecordBatch.from_arrays([pa.array(target), pa.array(np.zeros(len(own), np.int8)), batch.column(0), batch.column(2), pa.array(np.zeros(len(own), np.float32))], _TASK.names)
+                own, vid, reach = batch.column(1).to_numpy(), batch.column(0).to_numpy(), shared.value
+                place = reach.place(own, reach.cell(_matrix(batch.column(2)), own), vid)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.zeros(len(own), np.int8)), batch.column(0), batch.column(2), pa.array(np.zeros(len(own), np.float32))], _TASK.names)
 
         return self.rows.mapInArrow(points, _TASK)
 
+    def _shared(self):
+        return self.rows.sparkSession.sparkContext.broadcast(self.reach)
+
     def _tasks(self, tasks: DataFrame) -> DataFrame:
         """Points of a part before the queries to it, part by part; queries stream past the part's tree."""
-        width = int(self.reach.parts.sum())
-        return tasks.repartition(max(1, 3 * width), "target").sortWithinPartitions("target", "kind")
+        return tasks.repartition(max(1, 3 * self.reach.width()), "target").sortWithinPartitions("target", "kind")
 
     def pairs(self, least: float, factor: float = 1.0) -> DataFrame:
         """(a, b, similarity), a < b, of the pairs with a cosine similarity of at least ``least``."""
-        reach, parts, radius = self.reach, self.reach.parts, math.acos(least)
+        shared, radius = self._shared(), math.acos(least)
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own, vid = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+                own, vid, reach = batch.column(1).to_numpy(), batch.column(0).to_numpy(), shared.value
                 if not len(own):
                     continue
-                ok = reach.shards(_matrix(batch.column(2)), np.full(len(own), factor * radius), own)
-                mine = own * PARTS + vid % parts[own]
-                rows, targets = [], []
-                for shard in np.flatnonzero(ok.any(0)).tolist():
-                    hit = np.flatnonzero(ok[:, shard])
-                    for p in range(int(parts[shard])):
+                x, margin = _matrix(batch.column(2)), np.full(len(own), factor * radius)
+                mine = reach.place(own, reach.cell(x, own), vid)
+                rows, targets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for _, _, places, hit in reach.tasks(x, reach.shards(x, margin, own), margin):
+                    for t in places.tolist():
                         # Of two parts the lower asks the higher; within a part all ask all.
-                        t = shard * PARTS + p
-                        r = hit[mine[hit] <= t]
-                        rows.append(r)
-                        targets.append(np.full(len(r), t))
+                        rows.append(hit[mine[hit] <= t])
+                        targets.append(np.full(len(rows[-1]), t))
                 r = np.concatenate(rows)
                 order = pa.array(r)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(targets)), pa.array(np.ones(len(r), np.int8)), batch.column(0).take(order), batch.column(2).take(order), pa.array(np.zeros(len(r), np.float32))], _TASK.names)
@@ -308,27 +395,33 @@ class VantageIndex:
     def nearest(self, queries: DataFrame, k: int = 10, factor: float = 0.3) -> DataFrame:
         """(a, b, similarity, rank): for each of ``queries`` (rows of this index) its k most similar other vectors.
 
-        A first search in the query's own shard gives the radius of the second, which visits the other shards.
+        A first search in the query's own cell gives the radius of the second, which visits the others within reach.
         """
-        reach, parts = self.reach, self.reach.parts
+        shared = self._shared()
 
         def ask(first: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    own = batch.column(1).to_numpy()
+                    own, reach = batch.column(1).to_numpy(), shared.value
                     if not len(own):
                         continue
+                    x = _matrix(batch.column(2))
+                    cell = reach.cell(x, own)
                     radius = np.full(len(own), math.pi) if first else batch.column(3).to_numpy().astype(float)
-                    ok = np.zeros((len(own), len(parts)), bool)
-                    ok[np.arange(len(own)), own] = True
-                    if not first:
-                        ok = reach.shards(_matrix(batch.column(2)), factor * radius, own) & ~ok
-                    rows, shard = np.nonzero(ok)
-                    copies = parts[shard]
-                    r, s = np.repeat(rows, copies), np.repeat(shard, copies)
-                    p = np.arange(len(r)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    if first:
+                        ok = np.zeros((len(own), len(reach.n)), bool)
+                        ok[np.arange(len(own)), own] = True
+                    else:
+                        ok = reach.shards(x, factor * radius, own)
+                    rows, targets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                    for shard, k, places, hit in reach.tasks(x, ok, radius if first else factor * radius):
+                        home = (own[hit] == shard) & (cell[hit] == k)
+                        hit = hit[home if first else ~home]
+                        rows += [hit] * len(places)
+                        targets += [np.full(len(hit), t) for t in places.tolist()]
+                    r = np.concatenate(rows)
                     order = pa.array(r)
-                    yield pa.RecordBatch.from_arrays([pa.array(s * PARTS + p), pa.array(np.ones(len(r), np.int8)), batch.column(0).take(order), batch.column(2).take(order), pa.array(radius[r].astype(np.float32))], _TASK.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(targets)), pa.array(np.ones(len(r), np.int8)), batch.column(0).take(order), batch.column(2).take(order), pa.array(radius[r].astype(np.float32))], _TASK.names)
 
             return run
 
@@ -346,7 +439,7 @@ class VantageIndex:
         top = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("rank") <= k)
         asked = queries.select("vid", "own", "raw")
         first = stored(search(asked.mapInArrow(ask(True), _TASK)), "first")
-        # Fewer than k in the own shard leave the radius open.
+        # Fewer than k in the own cell leave the radius open.
         radius = top(first).groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.acos(F.least(F.min("similarity"), F.lit(1.0)))).otherwise(math.pi).alias("radius"))
         second = asked.join(radius, asked["vid"] == radius["a"], "left").select("vid", "own", "raw", F.coalesce("radius", F.lit(math.pi)).cast("float").alias("radius"))
         return top(first.unionByName(search(second.mapInArrow(ask(False), _TASK))))

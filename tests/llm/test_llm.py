@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.llm import codes, leaks, markup
+from quern.llm import codes, leaks, markup, vptree
 from quern.llm import mixture as mixture_module
 from quern.llm.canonical import COMPAT, INVISIBLE, LOOKALIKE, MARK, SPACE, canonical, with_canonical
 from quern.llm.graph import Graph, one_edit
@@ -243,12 +243,43 @@ def test_pairs_and_neighbours_of_rows(spark, kind):
     assert similar_pairs(df.limit(0), "id", "v").count() == 0 == most_similar(df.where("id = 1001"), "id", "v").count()
 
 
-def test_parted_shards_lose_no_pair(spark):
+def test_parted_shards_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "FIRST", 3)
     x = unit(600, seed=3)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    index = VantageIndex(df, "id", "v", least_shards=3)
-    index.reach.parts = np.full_like(index.reach.parts, 3)
-    assert index.pairs(0.8).count() == int(np.triu(x @ x.T >= 0.8, 1).sum())
+    want = int(np.triu(x @ x.T >= 0.8, 1).sum())
+    for rows, second in ((30, True), (80, True), (10_000, False)):
+        index = VantageIndex(df, "id", "v", shard_rows=rows, least_shards=3)
+        assert any(c is not None for c, _, _ in index.reach.cells) == second
+        assert index.pairs(0.8).count() == want
+        near = index.nearest(index.rows.where("vid % 50 = 0"), 5, 1.0).collect()
+        sims = {q: sorted((r.similarity for r in near if r.a == q), reverse=True) for q in range(0, 600, 50)}
+        assert all(np.allclose(sims[q], -np.sort(-np.delete(x @ x[q], q))[:5]) for q in sims)
+
+
+def test_copies_of_one_vector_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "FIRST", 2)
+    df = spark.createDataFrame([(i, [1.0, 0.0, 0.5]) for i in range(200)] + [(900, [0.0, 1.0, 0.0])], "id long, v array<double>")
+    index = VantageIndex(df, "id", "v", shard_rows=20, least_shards=2)
+    assert index.reach.width() > 4 and index.pairs(0.9).count() == 200 * 199 // 2
+
+
+def test_trees_prune(spark):
+    x = unit(3000, seed=5)
+    tree, seen = Tree(x), []
+    for factor in (1.0, 0.3):
+        leaves = [0]
+        stack = [(tree.root, np.arange(200))]
+        while stack:
+            node, rows = stack.pop()
+            if len(node) == 2:
+                leaves[0] += len(rows)
+                continue
+            c, (a, b, d, e), inner, outer = node
+            far, margin = np.arccos(np.clip(x[rows] @ c, -1, 1)), factor * math.acos(0.9)
+            stack += [(inner, rows[(far >= a - margin) & (far <= b + margin)]), (outer, rows[(far >= d - margin) & (far <= e + margin)])]
+        seen.append(leaves[0])
+    assert seen[1] < 0.6 * seen[0]
 
 
 # ---- markup
