@@ -159,6 +159,12 @@ def _living(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([n[j] for n in nodes], t) for j, t in enumerate((pa.binary(), pa.string(), pa.int64()))], ["key", "name", "row"])
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array([payload[i : i + DIGEST] for i in range(0, len(payload), DIGEST)], pa.binary())], ["text"])
+
+
 def _bury(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, payload, rows in zip(*(batch.column(c).to_pylist() for c in ("shard", "payload", "rows")), strict=True):
@@ -262,8 +268,7 @@ class HistoryIndex:
         total = sum(s["rows"] for s in old)
         hot = self._hot(nodes, total, "key")
         self._graphs(self._routes(nodes.select(F.col("key").alias("base"), "name", "row", F.lit(False).alias("shared")), hot, False), n, False)
-        pieces = F.transform(F.sequence(F.lit(0), (F.octet_length("payload") / DIGEST).cast("int") - 1), lambda i: F.substring("payload", i * DIGEST + 1, F.lit(DIGEST)))
-        self._keys(self._read(KEYS, ids).select(F.explode(pieces).alias("text")), n)
+        self._keys(self._read(KEYS, ids).select("payload").mapInArrow(_texts, "text binary"), n)
         known = self._note_hot(hot, n)
         for s in old:
             if s["hot"]:
@@ -294,10 +299,11 @@ class HistoryIndex:
     # -- batches
 
     @staticmethod
-    def _nodes(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    def _nodes(rows: DataFrame, keep: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
         """(text, base, name, row, shared): the first row of each kind; shared: its text stands with other fields too."""
         alone = F.when(F.col("text").isNull() & F.col("name").isNull(), F.col("row"))
-        first = rows.groupBy(*by, "text", "base", "name", alone.alias("alone")).agg(F.min("row").alias("row")).drop("alone")
+        # Kept, as it is read twice and its keys are made in Python.
+        first = keep.stored(rows.groupBy(*by, "text", "base", "name", alone.alias("alone")).agg(F.min("row").alias("row")).drop("alone"), "first")
         many = first.where(F.col("text").isNotNull()).groupBy(*by, "text").count().where(F.col("count") > 1).select(*by, "text", F.lit(True).alias("shared"))
         return first.join(many, [*by, "text"], "left")
 
@@ -394,7 +400,7 @@ class HistoryIndex:
     def accept(self, rows: DataFrame) -> None:
         """Take ``rows`` (of ``keyed``) as accepted history without judging them."""
         with Scratch(self.spark, "accept") as keep:
-            self._accept(keep.stored(self._nodes(rows), "nodes"), keep)
+            self._accept(keep.stored(self._nodes(rows, keep), "nodes"), keep)
 
     def judge(self, rows: DataFrame) -> DataFrame:
         """(source, row) of the rows that repeat an accepted row or an earlier new one; the others are accepted.
@@ -404,7 +410,7 @@ class HistoryIndex:
         """
         with Scratch(self.spark, "batch") as keep:
             held = keep.stored(rows.select("source", "row", "text", "base", "name"), "rows")
-            accepted = self._accepted(keep.stored(self._nodes(held), "nodes"), keep).select("row")
+            accepted = self._accepted(keep.stored(self._nodes(held, keep), "nodes"), keep).select("row")
             return stored(held.select("source", "row").join(accepted, "row", "left_anti").select("source", "row"), "repeats")
 
 
@@ -418,7 +424,8 @@ def repeated_rows(rows: DataFrame, batch: str = "batch_no", index: HistoryIndex
     rows = rows.withColumn("__batch", F.greatest(F.coalesce(F.col(f"`{batch}`").cast("long"), F.lit(0)), F.lit(0)))
     accepted = []
     # Every row is keyed once, and the copies within a batch are counted as one.
-    nodes = stored(index._nodes(rows, ("__batch",)), "nodes", by="__batch")
+    with Scratch(rows.sparkSession, "first") as keep:
+        nodes = stored(index._nodes(rows, keep, ("__batch",)), "nodes", by="__batch")
     for b in sorted(r[0] for r in nodes.select("__batch").distinct().collect()):
         with Scratch(rows.sparkSession, "batch") as keep:
             part = nodes.where(F.col("__batch") == b).drop("__batch")
